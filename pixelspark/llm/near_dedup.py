@@ -228,10 +228,12 @@ def connect(links: DataFrame) -> DataFrame:
 
 
 def live_postings(postings: DataFrame) -> DataFrame:
-    """Postings of the lists with at least two entries in neighbouring bands, with the entries of their own band."""
-    sizes = stash(postings.groupBy("token", "band").agg(F.count(F.lit(1)).alias("length")), "lists")
+    """Postings of tokens that are posted more than once, with the entries of their list in the bands around."""
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").select("token")
+    rows = stash(postings.join(shared, "token"), "shared")
+    sizes = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("length"))
     near = sizes.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "length").groupBy("token", "band").agg(F.sum("length").alias("reach"))
-    return stash(postings.join(near.filter("reach > 1"), ["token", "band"]).select("token", "band", "n", "id", "reach"), "live")
+    return stash(rows.join(near.filter("reach > 1"), ["token", "band"]).select("token", "band", "n", "id", "reach"), "live")
 
 
 def head_pairs(live: DataFrame) -> DataFrame:
