@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from . import jpeg, png
 
 
-def _scalar(kind: str, one: Callable):
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([one(None if x is None else bytes(x)) for x in batch], dtype=object)
+def _scalar(kind: str, one: Callable) -> Callable[[Column | str], Column]:
+    """A column function of one byte string; the UDF is made on use, as making one needs a session."""
 
-    return run
+    def column(content: Column | str) -> Column:
+        @F.pandas_udf(kind)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series([one(None if x is None else bytes(x)) for x in batch], dtype=object)
+
+        return run(content)
+
+    return column
 
 
 strip_png = _scalar("binary", png.strip)
@@ -31,21 +36,34 @@ jpeg_segments = _scalar("array<struct<ord:int,marker:int,payload_start:long,leng
 picture_ranges = _scalar("array<struct<start:long,size:long>>", jpeg.picture_ranges)
 
 
-@F.pandas_udf("binary")
-def carry_colour(original: pd.Series, encoded: pd.Series) -> pd.Series:
+def carry_colour(original: Column | str, encoded: Column | str) -> Column:
     """encoded with the colour chunks of original that it lacks."""
-    return pd.Series([None if b is None else png.with_colour(bytes(b), png.colour_chunks(None if a is None else bytes(a))) for a, b in zip(original, encoded, strict=True)], dtype=object)
+
+    @F.pandas_udf("binary")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if y is None else png.with_colour(bytes(y), png.colour_chunks(None if x is None else bytes(x))) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run(original, encoded)
 
 
-@F.pandas_udf("binary")
-def attach_picture(primary: pd.Series, secondary: pd.Series) -> pd.Series:
+def attach_picture(primary: Column | str, secondary: Column | str) -> Column:
     """primary as a multi-picture file with one secondary picture."""
-    return pd.Series([jpeg.attach(bytes(a), [bytes(b)]) for a, b in zip(primary, secondary, strict=True)], dtype=object)
 
+    @F.pandas_udf("binary")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jpeg.attach(bytes(x), [bytes(y)]) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run(primary, secondary)
+
+
+def strip_display(content: Column | str) -> Column:
+    """data, hdr: a strip that keeps what is displayed."""
+
+    @F.pandas_udf("struct<data:binary,hdr:string>")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([jpeg.strip_keeping_display(None if x is None else bytes(x)) for x in batch], columns=["data", "hdr"])
 
-@F.pandas_udf("struct<data:binary,hdr:string>")
-def strip_display(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([jpeg.strip_keeping_display(None if x is None else bytes(x)) for x in content], columns=["data", "hdr"])
+    return run(content)
 
 
 def optimize_strip(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
