@@ -13,6 +13,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +35,15 @@ END_ID = 1
 MEMORY_WORDS = 300_000
 MEMORY_LENGTH = 64
 SLICE_CHARS = 2_000_000
+#: Parts encoded at a time.
+LOT = 256
+
+#: A tokenizer that normalizes and splits like this (fixed values) has its fresh words cut into parts here: words of
+#: these characters only, as they are lower-cased alike everywhere and never composed. Other words are encoded whole.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, sequence_tokens long, padded_tokens long"
@@ -51,12 +61,49 @@ class WordTokenizer:
             steps = json.load(f)
         split = [s["pattern"].get("Regex", "") for s in steps["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split" and s["behavior"] == "Removed" and s.get("invert")]
         self.by_word = any(r"[^\s\p{L}\p{N}]+" in p for p in split)  # white space is dropped and ends every token
+        normalizers = [n["type"] for n in (steps.get("normalizer") or {}).get("normalizers", ())]
+        self.by_part = split == [SPLIT] and normalizers == NORMALIZERS
         self.own = Tokenizer.from_file(path)
         self.memory: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        suffix, known = steps["model"].get("end_of_word_suffix"), self.own.get_vocab()
+        self.ends = np.zeros(max(known.values(), default=0) + 1, bool)
+        self.ends[[i for w, i in known.items() if suffix and w.endswith(suffix)]] = True
 
     def _fresh(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.own.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, encoded many at a time: a part's last token, and no other, has the suffix of word ends."""
+        found: list[bytes] = []
+        lots = [parts[k : k + LOT] for k in range(0, len(parts), LOT)]
+        for lot, ids in zip(lots, self._fresh([" ".join(lot) for lot in lots]), strict=True):
+            stops = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4
+            if len(stops) != len(lot) or stops[-1] != len(ids):
+                found += self._fresh(lot)
+                continue
+            at = stops.tolist()
+            found += [ids[a:b] for a, b in zip([0, *at], at, strict=False)]
+        return found
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; words share most of their parts, and only parts not met before are encoded."""
+        if not self.by_part:
+            return self._fresh(words)
+        if len(self.parts) > MEMORY_WORDS:
+            self.parts.clear()
+        # a word with a special token in it is encoded whole
+        cut = [PART.findall(w.lower()) if PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
+        whole = [w for w, c in zip(words, cut, strict=True) if c is None]
+        fresh = list({x for c in cut if c for x in c}.difference(self.parts))
+        self.parts.update(zip(fresh, self._parts(fresh), strict=True))
+        others, get = iter(self._fresh(whole)), self.parts.__getitem__
+        found = [next(others) if c is None else b"".join(map(get, c)) for c in cut]
+        for x in fresh:
+            if len(x) > MEMORY_LENGTH:
+                del self.parts[x]
+        return found
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as bytes of little-endian unsigned 32-bit integers."""
         a = 0
@@ -79,7 +126,7 @@ class WordTokenizer:
         for words in held:
             new.update(set(words).difference(self.memory))
         fresh = list(new)
-        self.memory.update(zip(fresh, self._fresh(fresh), strict=True))
+        self.memory.update(zip(fresh, self._words(fresh), strict=True))
         get = self.memory.__getitem__
         for words in held:
             yield b"".join(map(get, words))
