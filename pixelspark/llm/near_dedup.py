@@ -12,7 +12,7 @@ r"""Near-duplicate detection by a signature-coordinate inverted join.
    members outside the main component are compared with all members in blocks. Beyond that, only pairs of one list
    that lie in different components and large families are listed, and those that share enough tokens are compared.
 4. Compared pairs must agree in MATCHES coordinates and are then confirmed on the full sets.
-5. Components come from alternating large-star and small-star rounds.
+5. Components come from alternating large-star and small-star rounds; between them each task joins the edges it holds.
 
 With MATCHES of COORDINATES, a pair of similarity 0.8 is missed with probability below 1e-5.
 
@@ -29,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,29 +205,61 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int)
 # --- components --------------------------------------------------------------------------------------------------
 
 
-def connect(links: DataFrame) -> DataFrame:
-    """id, component of every linked id: the smallest id it reaches."""
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components, at most one per node of each task: every node with the smallest one its task joins it to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, v = find(u), find(v)
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+        nodes = list(root)
+        tops = list(map(find, nodes))
+        for k in range(0, len(nodes), 10_000):
+            out = pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 10_000], pa.int64()), pa.array(tops[k : k + 10_000], pa.int64())], ["u", "v"])
+            yield out.filter(pc.not_equal(out.column(0), out.column(1)))
+
+    return edges.mapInArrow(run, "u long, v long")
 
-    def mark(edges: DataFrame) -> tuple[int, int]:
-        row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return row[0], int(row[1] or 0)
 
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = mark(edges)
-    while before[0]:
+def connect(links: DataFrame) -> DataFrame:
+    """id, component of every linked id: the smallest id it reaches.
+
+    An edge takes 16 bytes where a document takes thousands, so edges are kept in an eighth of the shuffle partitions.
+    """
+    spark = links.sparkSession
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    edges = stash(forest(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").coalesce(parts)), "edges")
+    while True:
+        # a forest of stars is done: every u has one v, and no v is a u
+        roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(edges.select("v", F.lit(0), F.lit(1)).distinct())
+        if roles.groupBy("x").agg(F.sum("up").alias("ups"), F.max("top").alias("top")).filter("ups > 1 OR (ups > 0 AND top > 0)").isEmpty():
+            break
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stash(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        large = stash(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(parts), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stash(small.union(least).distinct(), "edges")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
+        edges = stash(forest(small.union(least).coalesce(parts)), "edges")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found with more links: its components stand for the links that led to them."""
+    return stash(connect(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "found")
+
+
 def live_postings(postings: DataFrame) -> DataFrame:
     """Postings of tokens that are posted more than once, with the entries of their list in the bands around."""
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").select("token")
@@ -324,11 +357,10 @@ def components(docs: DataFrame, size: int) -> DataFrame:
     families = stash(connect(agreed), "families").withColumnRenamed("component", "family")
     inside = stash(family_links(families, found, docs, classes, size), "links")
     if not inside.isEmpty():
-        links = links.union(inside)
-        found = stash(connect(links), "found")
+        found = joined(found, inside)
     rest = stash(agreeing(stash(open_pairs(live, found, families, first), "pairs"), classes), "pairs")
     if not rest.isEmpty():
-        found = stash(connect(links.union(stash(confirmed(rest, docs, classes, size), "links"))), "found")
+        found = joined(found, confirmed(rest, docs, classes, size))
     named = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     whole = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))
