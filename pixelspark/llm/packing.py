@@ -32,9 +32,11 @@ CAPACITY = 2048
 GROUP_PIECES = 8192
 END_ID = 1
 #: Words remembered per Python worker, and the longest word remembered. Only speed depends on them.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 100_000
 MEMORY_LENGTH = 64
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
+#: Rows whose texts are Python objects at a time.
+SLICE_ROWS = 256
 #: Parts encoded at a time.
 LOT = 256
 
@@ -147,7 +149,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
         own, end = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
         seed, rows = (context.partitionId() if context else 0) << 40, 0
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE_ROWS) for whole in batches for k in range(0, whole.num_rows, SLICE_ROWS)):
             out: list[tuple] = []
             for key, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
