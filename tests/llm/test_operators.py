@@ -178,6 +178,21 @@ def test_license_scan(spark):
     assert got == {1: ("Apache-2.0", "Apache-2.0", None, None), 2: (None, "Apache-2.0", "r", 1), 3: ("MIT", "MIT", None, None), 4: ("GPL-3.0", "GPL-3.0", None, None), 5: (None, "GPL-3.0", "r/a/d", 1), 6: (None, None, None, None), 7: (None, None, None, None)}
 
 
+def test_license_scan_headers_and_files(spark):
+    gpl = "/* Copyright (C) 2001 Foo\n *\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n */\nint x;"
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    cases = [(gpl, "GPL-2.0"), (gpl.replace("version 2", "version 3"), "GPL-3.0"), (grant, "MIT"), ("GNU GENERAL PUBLIC LICENSE\nVersion 3", "GPL-3.0"), ("# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0.\nimport x", "MPL-2.0"), ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("// SPDX-License-Identifier: EPL-2.0", None), (isc, "ISC"), ("licensed under the GNU General Public License", None)]
+    whole = license_scan.licence_texts()
+    code = "\nint main() { return lookup(table, keys); }" * 9
+    cases += [(f"Project\n\nCopyright (c) 2020 Foo\n\n{t}", name) for name, t in whole] + [("// " + t.replace("\n", "\n// ") + code, name) for name, t in whole]
+    own = license_scan.index()
+    assert [own.best(t)[0] for t, _ in cases] == [name for _, name in cases] and len(whole) > 20
+    rows = [(1, "LICENSE", grant), (2, "a/LICENSE", "Ask the owner before you use any of this."), (3, "a/b/x.txt", "text"), (4, "a/b/LICENSE", " \n"), (5, "c/NOTICE", "This product has parts of others."), (6, "c/x.txt", "text"), (7, "a/d/COPYING", whole[0][1]), (8, "a/d/x.txt", "text"), (9, "a/d/LICENSE.old", "Other terms.")]
+    got = {r["doc_id"]: (r["license"], r["inherited_from"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", None), 2: (None, None), 3: (None, None), 4: (None, None), 5: ("MIT", ""), 6: ("MIT", ""), 7: ("Apache-2.0", None), 8: ("Apache-2.0", "a/d"), 9: ("Apache-2.0", "a/d")}
+
+
 @pytest.mark.parametrize("size", [2])
 def test_near_dedup(spark, empty, size, monkeypatch):
     monkeypatch.setattr(near_dedup, "FAMILY", 4)
