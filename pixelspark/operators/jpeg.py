@@ -11,8 +11,6 @@ MPF, ISO_GAIN_MAP = b"MPF\0", b"urn:iso:std:iso:ts:21496"
 GAIN_MAP = (b"hdrgainmap", b"iso:ts:21496", b"hdr-gain-map", b"hdrgm:", b"GContainer")
 NEEDLES = (b"GPS", b"Exif", b"ns.adobe.com/xap", b"jumb", b"c2pa", b"Photoshop", b"ICC_PROFILE")
 APP0, APP1, APP2, APP15, COM, SOS, EOI = 0xE0, 0xE1, 0xE2, 0xEF, 0xFE, 0xDA, 0xD9
-#: Pictures that one index may list; more are taken as damage.
-MAX_PICTURES = 64
 
 
 @dataclass(frozen=True)
@@ -107,9 +105,17 @@ def needles(content: bytes | None) -> list[str]:
     return [n.decode() for n in NEEDLES if n in (content or b"")]
 
 
+def picture_index(content: bytes | None) -> Segment | None:
+    """The segment of the multi-picture index."""
+    return next((s for s in segments(content) if s.marker == APP2 and s.payload.startswith(MPF)), None)
+
+
 def picture_ranges(content: bytes | None) -> list[tuple[int, int]] | None:
-    """(start, size) of each picture that the multi-picture index lists; None without a sound index."""
-    index = next((s for s in segments(content) if s.marker == APP2 and s.payload.startswith(MPF)), None)
+    """(start, size) of each picture that the multi-picture index lists; None without a sound index.
+
+    Secondary pictures lie apart from each other, so together they are no longer than the file, whatever their number.
+    """
+    index = picture_index(content)
     if index is None:
         return None
     body, base = index.payload[4:], index.start + 4
@@ -122,7 +128,7 @@ def picture_ranges(content: bytes | None) -> list[tuple[int, int]] | None:
     if entry is None:
         return None
     size, at = read(entry + 4, 4), read(entry + 8, 4)
-    if size % 16 or size // 16 > MAX_PICTURES or at + size > len(body):
+    if size % 16 or at + size > len(body):
         return None
     out = []
     for k in range(size // 16):
@@ -131,6 +137,9 @@ def picture_ranges(content: bytes | None) -> list[tuple[int, int]] | None:
         if start + length > len(content):
             return None
         out.append((start, length))
+    apart = sorted(r for r in out[1:] if r[1])
+    if any(a + n > b for (a, n), (b, _) in zip(apart, apart[1:], strict=False)):
+        return None
     return out
 
 
@@ -179,9 +188,12 @@ def attach(primary: bytes, pictures: list[bytes], iso: bytes | None = None) -> b
 
 
 def strip_keeping_display(content: bytes | None) -> tuple[bytes | None, str]:
-    """A strip that keeps orientation and secondary pictures, and what became of the HDR rendition."""
+    """A strip that keeps orientation and secondary pictures, and what became of the HDR rendition.
+
+    A file with an index that does not hold, or with pictures that a new index cannot list, is refused, as they would be lost.
+    """
     bare = strip(content)
-    if bare is None:
+    if bare is None or (picture_index(content) is not None and picture_ranges(content) is None):
         return None, "absent"
     turned = orientation(content)
     if turned != 1:
@@ -199,5 +211,5 @@ def strip_keeping_display(content: bytes | None) -> tuple[bytes | None, str]:
     iso = next((s.payload for s in segments(content) if s.marker == APP2 and s.payload.startswith(ISO_GAIN_MAP)), None)
     whole, hdr = attach(bare, cleaned, iso), any(map(is_gain_map, pictures))
     if whole is None:
-        return bare, "dropped" if hdr else "absent"
+        return None, "absent"
     return whole, "preserved" if hdr or signals_hdr(content) else "absent"

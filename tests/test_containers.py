@@ -1,3 +1,5 @@
+import struct
+
 import numpy as np
 import pytest
 from hypothesis import given
@@ -58,6 +60,18 @@ def test_pictures_survive_a_strip():
     assert jpeg.secondaries(CONTROL) == []
 
 
+def test_every_listed_picture_survives_or_the_file_is_refused():
+    pictures = [CONTROL[:2] + jpeg.segment(jpeg.APP1, jpeg.XMP + b"hdrgainmap %d" % k) + CONTROL[2:] for k in range(70)]
+    whole = jpeg.attach(CONTROL, pictures)
+    out, state = jpeg.strip_keeping_display(whole)
+    assert state == "preserved" and [b"hdrgainmap %d" % k in p for k, p in enumerate(jpeg.secondaries(out))] == [True] * 70
+    two = jpeg.attach(CONTROL, pictures[:2])
+    second, third = (b"".join(struct.pack(">I", x) for x in e[::-1]) for e in [(a - jpeg.picture_index(two).start - 4, n) for a, n in jpeg.picture_ranges(two)[1:]])
+    assert two.count(second) == 1 and two.count(third) == 1
+    for bad in (two.replace(third, second), two.replace(third, third[:4] + b"\x7f" + third[5:])):
+        assert jpeg.picture_ranges(bad) is None and jpeg.strip_keeping_display(bad) == (None, "absent")
+
+
 @given(st.integers(0, len(WITH_TEXT)), st.integers(0, 255))
 def test_damage_never_raises(at, byte):
     for whole, strip in ((WITH_TEXT, png.strip), (CONTROL, jpeg.strip), (jpeg.attach(CONTROL, [CONTROL]), lambda x: jpeg.strip_keeping_display(x)[0])):
