@@ -17,7 +17,8 @@ r"""Near-duplicate detection by a signature-coordinate inverted join.
 With MATCHES of COORDINATES, a pair of similarity 0.8 is missed with probability below 1e-5.
 
 Edge cases: documents without words (null or empty texts) have no shingles, link with nothing and stay; fewer words than a shingle
-has make one shingle of them all; repeated rows are one class; a null key never represents a class unless all its
+has make one shingle of them all; repeated rows are one class; one key with several texts is several classes, each judged by
+itself, and of near copies with one key the smallest digest stays; a null key never represents a class unless all its
 keys are null; an empty table gives an empty result; extra columns are ignored by `components` and kept by `drop_near_duplicates`.
 """
 
@@ -176,12 +177,13 @@ def sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> D
 
         for batch in batches:
             sets = [shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    asked = likely(texts, cells(ids, "id"), "id").join(ids, "id", "left_semi")
-    # a key may be there with several texts: the digest tells which of them is the class
-    return asked.mapInArrow(build, "id long, digest binary, set binary").join(classes.select("id", "digest"), ["id", "digest"]).select("id", "set")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = stash(ids.join(classes.select("id", "doc_id", "digest"), "id"), "named")
+    asked = likely(texts, cells(named, "doc_id"), "doc_id").join(named.select("doc_id").distinct(), "doc_id", "left_semi")
+    # a key may be there with several texts: the digest tells which of them is the class; rows may be repeated
+    return asked.mapInArrow(build, "doc_id long, digest binary, set binary").join(named, ["doc_id", "digest"]).select("id", "set")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -346,9 +348,18 @@ def open_pairs(live: DataFrame, found: DataFrame, families: DataFrame, checked:
 
 def components(docs: DataFrame, size: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    return judged(docs, size).drop("digest")
+
+
+def judged(docs: DataFrame, size: int) -> DataFrame:
+    """One row per document: doc_id, n_shingles, digest of the set, component_id, kept."""
     rows = stash(sign(docs, size), "signed")
-    grouped = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = stash(grouped.filter("id IS NOT NULL"), "classes")
+    grouped = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = stash(grouped.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "*"), "classes")
+    # a key that names several classes cannot stand for one of them: then classes are numbered
+    several = not classes.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if several:
+        classes = stash(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     live = live_postings(post(classes, token_counts(classes)))
     first = stash(head_pairs(live), "pairs")
     agreed = stash(agreeing(first, classes), "pairs")
@@ -361,20 +372,33 @@ def components(docs: DataFrame, size: int) -> DataFrame:
     rest = stash(agreeing(stash(open_pairs(live, found, families, first), "pairs"), classes), "pairs")
     if not rest.isEmpty():
         found = joined(found, confirmed(rest, docs, classes, size))
-    named = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    whole = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))
-    return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = classes.select("digest", "id", "doc_id").join(found, "id", "left").select("digest", "doc_id", F.coalesce("component", "id").alias("component"))
+    if several:
+        first = named.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+        named = named.join(first, "component").select("digest", F.col("first.doc_id").alias("component"), (F.col("digest") == F.col("first.digest")).alias("stays"))
+    else:
+        named = named.select("digest", "component", F.lit(True).alias("stays"))
+    worded = F.col("n_shingles") > 0
+    whole = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", "digest", F.when(worded, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), (~worded | F.col("stays")).alias("stays"))
+    return whole.withColumn("kept", F.coalesce((F.col("doc_id") == F.col("component_id")) & F.col("stays"), F.lit(True))).drop("stays")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """The rows of docs that stay, one of each component, with all their columns."""
-    gone = stash(components(docs, size).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = stash(judged(docs, size).filter("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct(), "gone")
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        from xxhash import xxh3_128_digest
+
+        return pd.Series([xxh3_128_digest(shingle_set(t, size).tobytes()) for t in texts], dtype=object)
+
     keyed = docs.withColumn("__gone", F.col("doc_id").cast("long"))
     presence = cells(gone, "__gone")
-    # most rows are known to stay without a shuffle; the others are looked up
-    stay, asked = likely(keyed, presence, "__gone", there=False), likely(keyed, presence, "__gone")
-    return stay.unionByName(asked.join(gone, "__gone", "left_anti")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # most rows are known to stay without a shuffle; the others are looked up by key and set, as a key may have several texts
+    stay, asked = likely(keyed, presence, "__gone", there=False), likely(keyed, presence, "__gone").withColumn("__digest", digest(F.col("text").cast("string")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return stay.select(*columns).unionByName(asked.join(gone, ["__gone", "__digest"], "left_anti").select(*columns))
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:

@@ -217,6 +217,25 @@ def test_near_dedup(spark, empty, size, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got) and near_dedup.components(empty, size).count() == 0
 
 
+def test_near_dedup_of_one_key_with_several_texts(spark):
+    draw = random.Random(5)
+    a, b, c = (" ".join(f"w{draw.randrange(4000)}" for _ in range(120)) for _ in range(3))
+    near = lambda t: t + " changed"
+    # 5 is a near copy of 3 in one text and alone in the other; 7 has two near copies of one text, and 8 a copy of it; 9 has a near copy of 5's other text
+    rows = [(3, a), (5, near(a)), (5, b), (7, c), (7, near(c)), (8, c), (9, "lone words here"), (9, near(b)), (2, "nothing else"), (None, a), (5, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS extra")
+    kept = near_dedup.drop_near_duplicates(docs, 5)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    seven = [x for x in got if x[0] == 7]
+    assert kept.columns == docs.columns and seven in ([(7, c)], [(7, near(c))])
+    assert got == sorted([(3, a), (5, b), (5, b), *seven, (9, "lone words here"), (2, "nothing else"), (None, a)], key=str)
+    of = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.components(docs, 5).collect()), key=str)
+    assert of == sorted([(3, 116, 3), (5, 117, 3), (5, 116, 5), (7, 116, 7), (7, 117, 7), (8, 116, 7), (9, 1, 9), (9, 117, 5), (2, 1, 2), (None, 116, 3), (5, 116, 5)], key=str)
+    # without a key that names two classes
+    again = near_dedup.drop_near_duplicates(docs.filter("doc_id IN (2, 3)").union(spark.createDataFrame([(4, near(a), 1), (4, b, 1), (1, b, 1)], docs.schema)), 5)
+    assert sorted(r["doc_id"] for r in again.collect()) == [1, 2, 3]
+
+
 def test_sharding(docs, empty):
     got = sharding.assign_shards(docs).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(k) for k, _, _ in texts())
