@@ -3,7 +3,9 @@
 Every document starts in a shard drawn by its key. In each round one join brings every group's counts by shard to its
 members (equal texts form stars around the group, so a document's neighbours are counted without listing pairs). A
 member proposes to move to the shard that holds most of its neighbours, and proposals are accepted in proportion to the
-quota left for each destination, whole groups at a time unless a group is larger than a small share of a shard. A last
+quota left for each destination, whole groups at a time unless a group is larger than a small share of a shard. The
+quota is of documents with neighbours, as the others can make room without a cut. Rounds go on until no proposal is
+left or none has quota: each accepted one brings a document to its group's main shard, so they come to an end. A last
 pass evens the shards out exactly, moving documents without neighbours first.
 
 Law: `rows`; the shards' row counts differ by one at most. Slots are numbered without a gap from per-partition counts, so no
@@ -17,6 +19,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 SHARDS = 8
-ROUNDS = 4
 #: A group moves as a whole up to this share of a shard's rows.
 WHOLE_SHARE = 0.01
 
@@ -39,31 +41,31 @@ def cut_share(placed: DataFrame) -> float:
     return 0.0 if not row[0] else 1.0 - row[1] / row[0]
 
 
-def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """rows (doc_id, link, ...) with a shard each: equal links drawn together, shards about even."""
+def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
+    """rows (doc_id, link, ...) with a shard each: equal links drawn together, no shard with more of them than its quota allows. rounds: a limit, if any."""
     total = rows.count()
     quota = -(-total // shards)
     counts = rows.groupBy("link").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     state = stash(rows.join(counts, "link", "left").withColumn("shard", F.pmod(F.xxhash64("doc_id", "row_no"), F.lit(shards)).cast("int")), "shards")
-    for step in range(rounds):
+    for step in count() if rounds is None else range(rounds):
         # neighbours by group and shard; at most `shards` rows per group whatever its size
         near = state.filter("n > 1").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("here"))
         # counts first; of equal counts the group's own lot decides, so that small groups spread evenly
         want = near.groupBy("link").agg(F.max(F.struct("here", F.xxhash64("link", "shard").alias("lot"), "shard")).alias("top")).select("link", F.col("top.shard").alias("want"))
         asked = state.join(want, "link", "left").withColumn("whole", F.coalesce(F.col("n"), F.lit(1)) <= WHOLE_SHARE * quota)
         asked = asked.withColumn("want", F.coalesce("want", "shard"))
-        flow = {(r["shard"], r["want"]): r["c"] for r in asked.groupBy("shard", "want").agg(F.count(F.lit(1)).alias("c")).collect()}  # shards x shards rows
+        flow = {(r["shard"], r["want"]): r["c"] for r in asked.filter("n > 1").groupBy("shard", "want").agg(F.count(F.lit(1)).alias("c")).collect()}  # shards x shards rows
         size = {s: sum(c for (a, _), c in flow.items() if a == s) for s in range(shards)}
         leave = {s: sum(c for (a, b), c in flow.items() if a == s != b) for s in range(shards)}
         come = {s: sum(c for (a, b), c in flow.items() if b == s != a) for s in range(shards)}
         if not sum(come.values()):
             break
         share = [min(1.0, max(0.0, (quota - size[s] + leave[s]) / come[s])) if come[s] else 0.0 for s in range(shards)]
+        if not any(share):
+            break
         limit = F.element_at(F.array(*[F.lit(float(x)) for x in share]), F.col("want") + 1)
-        lot = F.pmod(F.when(F.col("whole"), F.xxhash64("link", F.lit(step))).otherwise(F.xxhash64("doc_id", "row_no", F.lit(step))), F.lit(1 << 20)) / float(1 << 20)
+        lot = F.pmod(F.when(F.col("whole"), F.xxhash64("link", F.lit(step))).otherwise(F.xxhash64("doc_id", "row_no", F.lit(step))), F.lit(1 << 40)) / float(1 << 40)
         state = stash(asked.withColumn("shard", F.when(lot < limit, F.col("want")).otherwise(F.col("shard"))).drop("want", "whole"), "shards")
-        if step and sum(come.values()) < max(1, total // 1000):
-            break
     return state
 
 
@@ -133,7 +135,7 @@ def even_out(state: DataFrame, shards: int = SHARDS) -> DataFrame:
     return placed.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")})
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, link, shard, slot."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(

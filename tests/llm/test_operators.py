@@ -246,3 +246,13 @@ def test_sharding(docs, empty):
     one = next(r for r in got if r["doc_id"] == 10)
     raw = texts()[10][1].encode()
     assert (one["size"], one["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw)) and sharding.assign_shards(empty).count() == 0
+
+
+def test_sharding_cuts_no_link_that_fits(spark):
+    small = [f"pair {k // 3}" for k in range(1200)] + [f"lone {k}" for k in range(2000)]
+    placed = sharding.assign_shards(spark.createDataFrame(list(enumerate(small)), "doc_id long, text string"))
+    assert sharding.cut_share(placed) == 0
+    large = ["one text"] * 150 + [f"lone {k}" for k in range(650)]
+    got = sharding.assign_shards(spark.createDataFrame(list(enumerate(large)), "doc_id long, text string")).collect()
+    held = [sum(r["doc_id"] < 150 and r["shard"] == s for r in got) for s in range(8)]
+    assert max(held) == 100 and all(sum(r["shard"] == s for r in got) == 100 for s in range(8))
