@@ -1,5 +1,7 @@
 """A few registered queries against their SQL, the sink and the queue."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -22,6 +24,13 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got))) == sorted(map(repr, rows.fetchall()))
 
 
+def test_long_profiles_are_put_together(spark, tmp_path):
+    texts = ["".join(chr(97 + (k * k + k // 7) % 26) for k in range(n)) for n in (0, 254_999, 255_001, 300_000, 1_000_003)] + ["x" * 16_707_346]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["profile_md5"], r["bytes"]) for r in catalog.QUERIES["icc_reassembly"](spark, str(tmp_path)).collect()}
+    assert got == {k: (hashlib.md5(t.encode()).hexdigest(), len(t)) for k, t in enumerate(texts[:-1])} | {5: (None, None)}
+
+
 def test_queue_and_sink(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
