@@ -256,3 +256,48 @@ def test_sharding_cuts_no_link_that_fits(spark):
     got = sharding.assign_shards(spark.createDataFrame(list(enumerate(large)), "doc_id long, text string")).collect()
     held = [sum(r["doc_id"] < 150 and r["shard"] == s for r in got) for s in range(8)]
     assert max(held) == 100 and all(sum(r["shard"] == s for r in got) == 100 for s in range(8))
+
+
+def test_pipeline(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    draw, shares = random.Random(11), quality.REFERENCES["en"].words
+    filler = ["".join(draw.choices("etaoinshr", k=6)) for _ in range(400)]
+    prose = lambda: [draw.choices([*shares, None], [*shares.values(), 1 - sum(shares.values())])[0] or draw.choice(filler) for _ in range(300)]
+    rows = []
+    for k in range(12):
+        base = prose()
+        for copy in range(draw.randrange(1, 5)):
+            words = list(base)
+            for _ in range(copy * draw.randrange(0, 6)):  # up to fifteen of 300 words: near copies on both sides of the threshold
+                words[draw.randrange(300)] = draw.choice(filler)
+            rows.append((len(rows), " ".join(words) + (" write to a.b@example.org now" if k % 3 == 0 else "")))
+        rows.append((len(rows), " ".join(base).upper() if k % 2 else " ".join(base)))
+    rows += [(900, None), (901, ""), (902, "%%% " * 50)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t or "")) for k, t in rows], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    good = {r["doc_id"]: r["text"] or "" for r in quality.keep_good(docs).collect()}
+    last = {t.lower(): k for k, t in sorted(good.items())}
+    single = {k: good[k] for k in last.values()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in single.items() if (w := t.lower().split())}
+    label = {k: k for k in single}
+    for _ in sets:
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    label[a] = label[b] = min(label[a], label[b])
+    kept = {k for k in single if label[k] == k}
+    assert len(rows) > len(good) > len(single) > len(kept) > 12
+    near = near_dedup.drop_near_duplicates(docs.filter(docs.doc_id.isin(list(single))), 5)
+    assert {r["doc_id"] for r in near.collect()} == kept and near.columns == docs.columns
+    masked = {r["doc_id"]: r["text"] or "" for r in pii.mask(docs.filter(docs.doc_id.isin(list(kept)))).collect()}
+    assert any("<EMAIL>" in t for t in masked.values()) and not any("@" in t for t in masked.values())
+    own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = {k: np.array([*own.encode(t, add_special_tokens=False).ids, 1], "<u4") for k, t in masked.items()}
+    got = sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == sorted((k, a, zlib.crc32(v[a : a + 2048].tobytes())) for k, v in want.items() for a in range(0, len(v), 2048))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
