@@ -242,6 +242,45 @@ def smallest_satisfying(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", run("p_partkey").alias("f")).select("p_partkey", "f.code", "f.quality")
 
 
+# score and bytes at whole qualities: every fifth curve has an inverted stretch, every seventh never reaches 80, every eleventh is never smaller
+CURVE_SCORE = "({k} % 30 + 35.0::DOUBLE + 0.6::DOUBLE * {q} - CASE WHEN {k} % 5 = 0 AND {q} BETWEEN 60 AND 75 THEN 1.5::DOUBLE * ({q} - 60) ELSE 0 END - CASE WHEN {k} % 7 = 0 THEN 45 ELSE 0 END)"
+CURVE_SIZE, CURVE_ORIGINAL = "({q} * 12 + {k} % 13)", "(CASE WHEN {k} % 11 = 0 THEN 100 ELSE 1000 + {k} % 700 END)"
+
+
+def _curve(k: int, q: float) -> tuple[float, int]:
+    score = k % 30 + 35.0 + 0.6 * q - (1.5 * (q - 60) if k % 5 == 0 and 60 <= q <= 75 else 0) - (45 if k % 7 == 0 else 0)
+    return score, int(q) * 12 + k % 13
+
+
+# p: probes so far, as quality and score; a probe gives the next bounds, the next wish and, with it, the next probe or none
+@query(f"""WITH RECURSIVE
+first AS (SELECT p_partkey AS k, least(greatest(floor(least(greatest(8.30::DOUBLE * exp(0.0285::DOUBLE * 80), 30), 98) + 0.5::DOUBLE), 20), 98)::BIGINT AS q FROM part),
+probe AS (
+  SELECT k, q, 1 AS n, 20::BIGINT AS lo, 98::BIGINT AS hi, [{{'q': q, 's': {CURVE_SCORE.format(k='k', q='q')}}}] AS p FROM first
+  UNION ALL
+  SELECT k, nq, n + 1, nlo, nhi, list_append(p, {{'q': nq, 's': {CURVE_SCORE.format(k='k', q='nq')}}}) FROM (
+    SELECT *, CASE WHEN NOT list_contains(qs, wq) THEN wq WHEN list_contains(qs, mid) THEN NULL ELSE mid END AS nq FROM (
+      SELECT *, least(greatest(floor(want + 0.5::DOUBLE), nlo), nhi)::BIGINT AS wq, floor((nlo + nhi) / 2.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS mid FROM (
+        SELECT *, CASE WHEN bs IS NOT NULL AND av IS NOT NULL THEN bq + (80 - bs) / (av - bs) * (aq - bq) WHEN av IS NULL THEN nhi ELSE greatest(q - 8, nlo) END AS want FROM (
+          SELECT *, list_transform(p, lambda x: struct_extract(x, 'q')) AS qs,
+            list_max(list_transform(below, lambda x: struct_extract(x, 's'))) AS bs, list_min(list_transform(above, lambda x: struct_extract(x, 's'))) AS av,
+            list_transform(list_filter(below, lambda x: struct_extract(x, 's') = list_max(list_transform(below, lambda y: struct_extract(y, 's')))), lambda x: struct_extract(x, 'q'))[1] AS bq,
+            list_transform(list_filter(above, lambda x: struct_extract(x, 's') = list_min(list_transform(above, lambda y: struct_extract(y, 's')))), lambda x: struct_extract(x, 'q'))[1] AS aq FROM (
+            SELECT k, q, n, p, list_filter(p, lambda x: struct_extract(x, 's') < 80) AS below, list_filter(p, lambda x: struct_extract(x, 's') >= 80) AS above,
+              CASE WHEN {CURVE_SCORE.format(k='k', q='q')} >= 80 THEN lo ELSE q END AS nlo, CASE WHEN {CURVE_SCORE.format(k='k', q='q')} >= 80 THEN q ELSE hi END AS nhi
+            FROM probe WHERE n < 6) WHERE nhi - nlo > 1)))) WHERE nq IS NOT NULL),
+tried AS (SELECT k, count(*) AS probes, min(q) FILTER ({CURVE_SCORE.format(k='k', q='q')} >= 80) AS q FROM probe GROUP BY k)
+SELECT k AS p_partkey, CASE WHEN q IS NULL THEN 5 WHEN {CURVE_SIZE.format(k='k', q='q')} >= {CURVE_ORIGINAL.format(k='k')} THEN 6 ELSE 0 END AS code, q::DOUBLE AS quality, probes FROM tried""")
+def search_choice(spark, sf_dir):
+    """The search with its own budget, on curves with inverted stretches, unreachable targets and files that do not get smaller."""
+    @F.pandas_udf("struct<code:int,quality:double,probes:long>")
+    def run(key: pd.Series) -> pd.DataFrame:
+        found = [search_loop.search(lambda q, k=k: _curve(k, q), 80.0, 100 if k % 11 == 0 else 1000 + k % 700) for k in key.tolist()]
+        return pd.DataFrame({"code": [f.code for f in found], "quality": [f.quality for f in found], "probes": [len(f.probes) for f in found]})
+
+    return _table(spark, sf_dir, "part").select("p_partkey", run("p_partkey").alias("f")).select("p_partkey", "f.code", "f.quality", "f.probes")
+
+
 @query(f"""SELECT p_partkey, 'png' AS format, CASE WHEN p_partkey % 2 = 0 THEN 'done' ELSE 'failed' END AS state, CASE WHEN p_partkey % 2 = 0 THEN (length({STRIPPED}) / 2)::BIGINT END AS bytes, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS error_code FROM part""")
 def optimize_strip(spark, sf_dir):
     whole = _part_png()
