@@ -2,17 +2,19 @@ r"""Near-duplicate detection by a signature-coordinate inverted join.
 
 1. Each document becomes the set of its distinct word shingles and a MinHash signature of `COORDINATES` values. Equal sets
    form a class; from here on one member stands for it.
-2. Every (coordinate, value) pair of a signature is a token. Tokens are ordered by how frequent they are (a fixed-size
-   count sketch over all of them), rarest first. Two signatures that agree in at least `MATCHES` coordinates share at
-   least `LEAST` tokens among their first COORDINATES - MATCHES + LEAST, so only these are posted; the frequent rest
-   (common word pairs, shared passages) is skipped without losing a pair.
+2. Every (coordinate, value) pair of a signature is a token. All tokens are counted, and those of one class only are
+   skipped: a class with more than COORDINATES - MATCHES of them can agree with none and is settled. The rest are
+   ordered rarest first. Two signatures that agree in at least `MATCHES` coordinates share at least `LEAST` tokens
+   among their first COORDINATES - MATCHES + LEAST, so only these are posted; the frequent rest (common word pairs,
+   shared passages) is skipped without losing a pair.
 3. Posting lists are split by set size, as linked sets differ in size by a quarter at most. First each class is
    compared with the head of the list it shares most tokens with: as many comparisons as classes, however long a list.
-   Verified links give first components. What agreeing signatures hold together is a family; in large families the
-   members outside the main component are compared with all members in blocks. Beyond that, only pairs of one list
-   that lie in different components and large families are listed, and those that share enough tokens are compared.
-4. Compared pairs must agree in MATCHES coordinates and are then confirmed on the full sets.
-5. Components come from alternating large-star and small-star rounds; between them each task joins the edges it holds.
+   Verified links give first components. What agreeing signatures hold together is a family.
+4. What can still be linked lies in different components. A large family counts as one in a list: a class that shares
+   enough tokens with it, or lies in it but outside its main component, is compared with all its members in blocks, and
+   no pair becomes a row. Other classes of one list are paired when they share enough tokens.
+5. Compared pairs must agree in MATCHES coordinates (in blocks: no need) and are confirmed on the full sets.
+6. Components come from alternating large-star and small-star rounds; between them each task joins the edges it holds.
 
 With MATCHES of COORDINATES, a pair of similarity 0.8 is missed with probability below 1e-5.
 
@@ -26,22 +28,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cells, likely, stash, table
 
 COORDINATES, MATCHES, LEAST = 128, 82, 8
 PREFIX = COORDINATES - MATCHES + LEAST
-SKETCH = 1 << 16
-#: Classes from which a family is compared in blocks, and classes in a block. Neither changes the result.
-FAMILY, BLOCK = 64, 256
+#: A token with this share of all postings is counted where it is read and not gathered; at most 1 / HOT_SHARE tokens are.
+HOT_SHARE, HOT_LEAST = 2.0**-13, 64
+#: Classes from which a family is compared in blocks, shingles in a block, and tasks that a family is dealt to. None changes the result.
+FAMILY, BLOCK, SALTS = 64, 1 << 16, 16
 #: Similarity in percent.
 PERCENT = 80
 
@@ -103,55 +106,60 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
 
 
 def tokens(sig: np.ndarray) -> np.ndarray:
-    """64-bit tokens of signatures (rows x COORDINATES)."""
-    x = sig.astype(np.uint64) + (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    return x * np.uint64(0xC4CEB9FE1A85EC53)
+    """Tokens of signatures (rows x COORDINATES): the coordinate's number above its value."""
+    return sig.astype(np.int64) + (np.arange(COORDINATES, dtype=np.int64) << 32)
 
 
 def _signatures(batch: pa.RecordBatch, column: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
-def token_counts(classes: DataFrame) -> np.ndarray:
-    """A count sketch of all tokens: SKETCH counters, summed in two steps."""
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(a, rows) for whole in batches for a in range(0, whole.num_rows, rows))
+
+
+def hot_tokens(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with a large share of all postings, sorted, and about how many postings they have: at most 1 / HOT_SHARE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            total += np.bincount((tokens(_signatures(batch, 0)) >> np.uint64(48)).astype(np.int64).ravel(), minlength=SKETCH)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16]), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+        for batch in _slices(batches, 4096):
+            t, n = np.unique(tokens(_signatures(batch, 0)), return_counts=True)
+            often = n >= max(HOT_LEAST, HOT_SHARE * batch.num_rows * COORDINATES)
+            yield pa.RecordBatch.from_arrays([pa.array(t[often]), pa.array(n[often])], ["token", "n"])
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH, np.int64)
-        for x in frame["counts"]:
-            total += np.frombuffer(x, np.int64)
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [total.tobytes()]})
+    counted = classes.select("sig").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = counted.filter(F.col("n") >= max(HOT_LEAST, HOT_SHARE * COORDINATES * classes.count())).sort("token").collect()  # at most 1 / HOT_SHARE
+    return np.array([r["token"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
 
-    rows = classes.select("sig").mapInArrow(run, "part long, counts binary").groupBy("part").applyInPandas(add, "part long, counts binary").collect()  # 16 rows of 512 KB at most
-    return sum((np.frombuffer(r["counts"], np.int64) for r in rows), np.zeros(SKETCH, np.int64))
 
+def size_band(n: Column) -> Column:
+    """Linked sets are in the same band of sizes or the next."""
+    return F.floor(F.log(n) / F.lit(log(100 / PERCENT)) + F.lit(1e-9)).cast("int")
 
-def post(classes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """token, band, n, id: the PREFIX rarest tokens of each class. Linked sets are in the same band of sizes or the next."""
-    order = np.minimum(counts, 2**15 - 1).astype(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                batch = whole.slice(a, 2000)
-                t = tokens(_signatures(batch, 2))
-                # by count, then by the token itself, in one sortable number; the full token is posted
-                rank = (order[(t >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (t & np.uint64(2**48 - 1))
-                first = np.argpartition(rank, PREFIX - 1, axis=1)[:, :PREFIX]
-                t = np.take_along_axis(t, first, axis=1).astype(np.int64).ravel()
-                n = np.asarray(batch.column(1))
-                band = np.floor(np.log(n) / np.log(100 / PERCENT) + 1e-9).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.repeat(band, PREFIX)), pa.array(np.repeat(n, PREFIX)), pa.array(np.repeat(np.asarray(batch.column(0)), PREFIX))], ["token", "band", "n", "id"])
+def post(classes: DataFrame) -> DataFrame:
+    """token, id: of each class that can agree with another one, those of its PREFIX rarest tokens that others have too.
+
+    Postings are gathered by token once, to count them, and those of shared tokens once more by class. Hot tokens are not
+    gathered: each of their postings is a group of its own.
+    """
+    hot, known = hot_tokens(classes)
 
-    return classes.select("id", "n", "sig").mapInArrow(run, "token long, band int, n long, id long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 2000):
+            t = tokens(_signatures(batch, 1)).ravel()
+            count = np.zeros(len(t), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, t), len(hot) - 1)
+                count = np.where(hot[at] == t, known[at], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.repeat(np.asarray(batch.column(0)), COORDINATES)), pa.array(count)], ["token", "id", "hot"])
+
+    every = classes.select("id", "sig").mapInArrow(run, "token long, id long, hot long")
+    met = F.count(F.lit(1)).over(Window.partitionBy("token", F.when(F.col("hot") > 0, F.col("id"))))
+    shared = every.withColumn("n", F.when(F.col("hot") > 0, F.col("hot")).otherwise(met)).filter("n > 1")
+    mine = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("mine")).filter(F.size("mine") >= MATCHES)
+    # the tokens of this class only, COORDINATES less those here, are the rarest
+    return mine.select("id", F.explode(F.slice("mine", F.lit(1), F.size("mine") - (COORDINATES - PREFIX))).alias("p")).select("p.token", "id")
 
 
 # --- comparing ---------------------------------------------------------------------------------------------------
@@ -262,13 +270,20 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return stash(connect(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "found")
 
 
-def live_postings(postings: DataFrame) -> DataFrame:
-    """Postings of tokens that are posted more than once, with the entries of their list in the bands around."""
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").select("token")
-    rows = stash(postings.join(shared, "token"), "shared")
+def live_postings(postings: DataFrame, classes: DataFrame) -> DataFrame:
+    """token, band, n, id of postings with others in the bands around, of classes with enough of them; reach: the entries
+    of their list in these bands; company: the sum of reach over a class."""
+    rows = stash(postings.join(classes.select("id", "n"), "id").select("token", size_band(F.col("n")).alias("band"), "n", "id"), "postings")
     sizes = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("length"))
     near = sizes.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "length").groupBy("token", "band").agg(F.sum("length").alias("reach"))
-    return stash(rows.join(near.filter("reach > 1"), ["token", "band"]).select("token", "band", "n", "id", "reach"), "live")
+    mine = Window.partitionBy("id")
+    live = rows.join(near.filter("reach > 1"), ["token", "band"]).withColumns({"company": F.sum("reach").over(mine), "held": F.count(F.lit(1)).over(mine)})
+    return stash(live.filter(F.col("held") >= LEAST).select("token", "band", "n", "id", "company"), "live")
+
+
+def compatible(a: str, b: str) -> Column:
+    """Sizes a and b of sets that may be similar enough."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
 def head_pairs(live: DataFrame) -> DataFrame:
@@ -277,34 +292,62 @@ def head_pairs(live: DataFrame) -> DataFrame:
     A list's head is its member with the most company over all its lists: the original of a group of edited copies is
     closer to each of them than they are to each other.
     """
-    company = live.groupBy("id").agg(F.sum("reach").alias("company"))
-    known = live.join(company, "id")
-    heads = known.groupBy("token", "band").agg(F.max(F.struct("company", "id", "n")).alias("head"))
+    heads = live.groupBy("token", "band").agg(F.max(F.struct("company", "id", "n")).alias("head"))
     around = heads.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "head")
-    met = live.join(around, ["token", "band"]).filter((F.col("id") != F.col("head.id")) & (100 * F.least("n", "head.n") >= PERCENT * F.greatest("n", "head.n")))
+    met = live.join(around, ["token", "band"]).filter((F.col("id") != F.col("head.id")) & compatible("n", "head.n"))
     shared = met.groupBy("id", F.col("head.id").alias("head")).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= LEAST)
     best = shared.groupBy("id").agg(F.max(F.struct("shared", "head")).alias("best"))
     return best.select(F.least("id", "best.head").alias("a"), F.greatest("id", "best.head").alias("b")).distinct()
 
 
-def family_links(families: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """Links inside large families that the heads left open.
+def by_family(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows joined with the one row of facts on their family, SALTS tasks to a family."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    return salted.join(facts.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["family", "__salt"]).drop("__salt")
 
-    A family is what agreeing signatures hold together, confirmed or not. Of a family of over FAMILY classes, the members outside its
-    largest component are compared with all members on the full sets, a block of the ones with a block of the others at a time, so
-    that no pair is ever a row. One link for each pair of such a member and a component is enough.
+
+def large_families(agreed: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, family, n, component of the members of families of over FAMILY classes."""
+    families = stash(connect(agreed), "families").withColumnRenamed("component", "family")
+    large = families.groupBy("family").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > FAMILY).select("family")
+    named = by_family(families, large).join(found, "id", "left").join(classes.select("id", "n"), "id")
+    return stash(named.select("id", "family", "n", F.coalesce("component", "id").alias("component")), "family")
+
+
+def outsiders(members: DataFrame) -> DataFrame:
+    """id, family of the members outside their family's largest component."""
+    main = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.max(F.struct("k", "component")).alias("main"))
+    return by_family(members, main).filter(F.col("component") != F.col("main.component")).select("id", "family")
+
+
+def in_slots(rows: DataFrame) -> DataFrame:
+    """rows in the slot of their band and the next: all tokens shared by sets of bands at most one apart meet in one slot."""
+    return rows.withColumn("slot", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+
+
+def strangers(live: DataFrame, members: DataFrame) -> DataFrame:
+    """id, family of classes that share enough tokens with a large family that they are not in. A family is one row in a list."""
+    own = members.select("id", F.col("family").alias("own"))
+    lists = in_slots(live.join(members.select("id", "family"), "id")).groupBy("token", "slot", "family").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    met = in_slots(live.join(own, "id", "left")).join(lists, ["token", "slot"])
+    near = met.filter((F.col("own").isNull() | (F.col("own") != F.col("family"))) & (100 * F.col("n") >= PERCENT * F.col("low")) & (100 * F.col("high") >= PERCENT * F.col("n")))
+    return near.groupBy("id", "family", "slot").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= LEAST).select("id", "family").distinct()
+
+
+def family_links(asked: DataFrame, members: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """Links between classes and the families they are asked to be compared with (id, family), on the full sets.
+
+    A block of the ones meets a block of the others at a time, so that no pair is ever a row, and blocks hold about BLOCK shingles.
+    One link for each pair of a class and a component is enough.
     """
-    large = families.groupBy("family").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > FAMILY)
-    named = families.join(large, "family").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    main = named.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("all"))
-    known = stash(named.join(main.select("family", "main"), "family").withColumns({"outside": F.col("component") != F.col("main.component"), "blocks": F.ceil(F.col("members") / BLOCK)}).drop("main"), "family")
-    # families without anyone outside are settled
-    known = known.join(known.filter("outside").select("family").distinct(), "family", "left_semi")
-    full = stash(known.join(sets_of(known.select("id"), docs, classes, size), "id"), "sets")
+    targets = by_family(members, asked.select("family").distinct())
+    ones = asked.join(classes.select("id", "n"), "id").join(found, "id", "left").select("id", "family", "n", F.coalesce("component", "id").alias("component"))
+    facts = targets.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).join(ones.groupBy("family").agg(F.ceil(F.sum("n") / (BLOCK // 4)).alias("parts")), "family")
+    sets = stash(sets_of(targets.select("id").union(ones.select("id")).distinct(), docs, classes, size), "sets")
     lists = lambda k: [F.collect_list(c).alias(f"{c}s_{k}") for c in ("id", "component", "set")]
-    targets = full.groupBy("family", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(*lists("y"))
-    asked = full.filter("outside").groupBy("family", "blocks", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / (BLOCK // 4))).alias("part")).agg(*lists("x"))
-    met = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(targets, ["family", "block"])
+    others = by_family(targets, facts).join(sets, "id").groupBy("family", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(*lists("y"))
+    parts = by_family(ones, facts).join(sets, "id").groupBy("family", "blocks", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(*lists("x"))
+    met = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(others, ["family", "block"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,18 +373,16 @@ def family_links(families: DataFrame, found: DataFrame, docs: DataFrame, classes
     return met.select("ids_x", "components_x", "sets_x", "ids_y", "components_y", "sets_y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def open_pairs(live: DataFrame, found: DataFrame, families: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs of one list that lie in different components and large families and share enough tokens, less those checked."""
-    large = families.groupBy("family").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > FAMILY).select("family")
-    settled = families.join(large, "family").select("id", "family")
-    rows = live.join(found, "id", "left").join(settled, "id", "left").select("token", "band", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("family", "component", "id").alias("group"))
-    # lists that hold a single component or large family have no pair to offer
-    near = rows.withColumn("slot", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+def open_pairs(live: DataFrame, found: DataFrame, members: DataFrame, checked: DataFrame) -> DataFrame:
+    """Pairs of classes in no large family that lie in different components and share enough tokens, less those checked."""
+    rows = live.join(members.select("id"), "id", "left_anti").join(found, "id", "left").select("token", "band", "id", "n", F.coalesce("component", "id").alias("group"))
+    # lists that hold a single component have no pair to offer
+    near = in_slots(rows)
     mixed = near.groupBy("token", "slot").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token", "slot")
-    there = near.join(mixed, ["token", "slot"])
+    there = stash(near.join(mixed, ["token", "slot"]), "open")
     x, y = (there.select("token", "slot", *[F.col(c).alias(c + k) for c in ("band", "id", "n", "group")]) for k in "xy")
     # both of one band meet in two slots: they count in the slot of their own number only
-    met = x.join(y, ["token", "slot"]).filter(f"idx < idy AND groupx <> groupy AND (bandx <> bandy OR slot = bandx) AND 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
+    met = x.join(y, ["token", "slot"]).filter((F.col("idx") < F.col("idy")) & (F.col("groupx") != F.col("groupy")) & ((F.col("bandx") != F.col("bandy")) | (F.col("slot") == F.col("bandx"))) & compatible("nx", "ny"))
     pairs = met.groupBy(F.col("idx").alias("a"), F.col("idy").alias("b")).count().filter(F.col("count") >= LEAST).select("a", "b")
     return pairs.join(checked, ["a", "b"], "left_anti")
 
@@ -360,18 +401,19 @@ def judged(docs: DataFrame, size: int) -> DataFrame:
     several = not classes.groupBy("doc_id").count().filter("count > 1").isEmpty()
     if several:
         classes = stash(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    live = live_postings(post(classes, token_counts(classes)))
+    live = live_postings(post(classes), classes)
+    alive = live.select("id").distinct()
+    signed = stash(likely(classes, cells(alive, "id"), "id").join(alive, "id", "left_semi"), "alive")
     first = stash(head_pairs(live), "pairs")
-    agreed = stash(agreeing(first, classes), "pairs")
-    links = stash(confirmed(agreed, docs, classes, size), "links")
-    found = stash(connect(links), "found")
-    families = stash(connect(agreed), "families").withColumnRenamed("component", "family")
-    inside = stash(family_links(families, found, docs, classes, size), "links")
-    if not inside.isEmpty():
-        found = joined(found, inside)
-    rest = stash(agreeing(stash(open_pairs(live, found, families, first), "pairs"), classes), "pairs")
-    if not rest.isEmpty():
-        found = joined(found, confirmed(rest, docs, classes, size))
+    agreed = stash(agreeing(first, signed), "pairs")
+    found = stash(connect(stash(confirmed(agreed, docs, signed, size), "links")), "found")
+    members = large_families(agreed, found, signed)
+    asked = stash(outsiders(members).union(strangers(live, members)), "asked")
+    inside = stash(family_links(asked, members, found, docs, signed, size), "links")
+    rest = stash(agreeing(stash(open_pairs(live, found, members, first), "pairs"), signed), "pairs")
+    more = stash(inside.union(confirmed(rest, docs, signed, size)), "links")
+    if not more.isEmpty():
+        found = joined(found, more)
     named = classes.select("digest", "id", "doc_id").join(found, "id", "left").select("digest", "doc_id", F.coalesce("component", "id").alias("component"))
     if several:
         first = named.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
