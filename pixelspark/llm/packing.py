@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,9 @@ CAPACITY = 2048
 #: Expected pieces of a group: it bounds a task's memory and is large enough to fill bins well.
 GROUP_PIECES = 8192
 END_ID = 1
-#: Words remembered per Python worker, and the longest word remembered. Only speed depends on them.
-MEMORY_WORDS = 100_000
+#: Words and parts remembered per Python worker, of which the older half goes when there are more, and the longest
+#: one remembered. Only speed depends on them.
+MEMORY = 300_000
 MEMORY_LENGTH = 64
 SLICE_CHARS = 500_000
 #: Rows whose texts are Python objects at a time.
@@ -40,19 +42,19 @@ SLICE_ROWS = 256
 #: Parts encoded at a time.
 LOT = 256
 
-#: A tokenizer that normalizes and splits like this (fixed values) has its fresh words cut into parts here: words of
-#: these characters only, as they are lower-cased alike everywhere and never composed. Other words are encoded whole.
+#: For a tokenizer that normalizes and splits like this (fixed values) texts are cut into parts here: texts of these
+#: characters only, as they are lower-cased alike everywhere and never composed. Other texts are cut into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+PLAIN = re.compile("[ \n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \na-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, sequence_tokens long, padded_tokens long"
 
 
 class WordTokenizer:
-    """Ids of the tokenizers library, remembered per word for tokenizers that never merge across a space or line feed."""
+    """Ids of the tokenizers library, remembered per part or word for tokenizers that never merge across a space or line feed."""
 
     def __init__(self, path: str):
         import json
@@ -66,7 +68,7 @@ class WordTokenizer:
         normalizers = [n["type"] for n in (steps.get("normalizer") or {}).get("normalizers", ())]
         self.by_part = split == [SPLIT] and normalizers == NORMALIZERS
         self.own = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         suffix, known = steps["model"].get("end_of_word_suffix"), self.own.get_vocab()
         self.ends = np.zeros(max(known.values(), default=0) + 1, bool)
@@ -88,22 +90,18 @@ class WordTokenizer:
             found += [ids[a:b] for a, b in zip([0, *at], at, strict=False)]
         return found
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; words share most of their parts, and only parts not met before are encoded."""
-        if not self.by_part:
-            return self._fresh(words)
-        if len(self.parts) > MEMORY_WORDS:
-            self.parts.clear()
-        # a word with a special token in it is encoded whole
-        cut = [PART.findall(w.lower()) if PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
-        whole = [w for w, c in zip(words, cut, strict=True) if c is None]
-        fresh = list({x for c in cut if c for x in c}.difference(self.parts))
-        self.parts.update(zip(fresh, self._parts(fresh), strict=True))
-        others, get = iter(self._fresh(whole)), self.parts.__getitem__
-        found = [next(others) if c is None else b"".join(map(get, c)) for c in cut]
+    def _remembered(self, memory: dict[str, bytes], held: list[list[str]], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of each list of words or parts; only those not met before are encoded, all of them at a time."""
+        if len(memory) > MEMORY:
+            for x in list(islice(memory, MEMORY // 2)):
+                del memory[x]
+        fresh = list(set().union(*held).difference(memory))
+        memory.update(zip(fresh, encode(fresh), strict=True))
+        get = memory.__getitem__
+        found = [b"".join(map(get, x)) for x in held]
         for x in fresh:
             if len(x) > MEMORY_LENGTH:
-                del self.parts[x]
+                del memory[x]
         return found
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -121,20 +119,12 @@ class WordTokenizer:
         if not self.by_word:
             yield from self._fresh([x or "" for x in texts])
             return
-        if len(self.memory) > MEMORY_WORDS:
-            self.memory.clear()
-        held = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        new: set[str] = set()
-        for words in held:
-            new.update(set(words).difference(self.memory))
-        fresh = list(new)
-        self.memory.update(zip(fresh, self._words(fresh), strict=True))
-        get = self.memory.__getitem__
-        for words in held:
-            yield b"".join(map(get, words))
-        for w in fresh:
-            if len(w) > MEMORY_LENGTH:
-                del self.memory[w]
+        # a text with a special token in it is cut into words only
+        plain = [self.by_part and (not x or (PLAIN.fullmatch(x) is not None and "<|" not in x)) for x in texts]
+        parts = iter(self._remembered(self.parts, [PART.findall(x.lower()) if x else [] for x, p in zip(texts, plain, strict=True) if p], self._parts))
+        words = iter(self._remembered(self.words, [x.replace("\n", " ").split(" ") if x else [] for x, p in zip(texts, plain, strict=True) if not p], self._fresh))
+        for p in plain:
+            yield next(parts if p else words)
 
 
 @lru_cache(maxsize=2)
