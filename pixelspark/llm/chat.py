@@ -15,8 +15,9 @@ gathered row by row in one task. The loss mask lists one span per turn in code p
 the texts of assistant turns.
 
 Edge cases: a null text or role is empty; a null turn number sorts first; turns with equal numbers sort by their
-rendered form and are all kept, as are repeated rows; records of an unknown layout give a conversation without turns
-(layout null) rather than being dropped; an empty table gives an empty result; columns that no layout mentions are ignored.
+rendered form and are all kept, as are repeated rows; a column that a layout may do without may be absent; a record that
+fills fields of several layouts takes the one that needs most; records that fill none give no turns and are counted in
+n_unmatched rather than being dropped; an empty table gives an empty result; columns that no layout mentions are ignored.
 """
 
 from __future__ import annotations
@@ -39,42 +40,52 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """A record layout: top-level fields with the nested paths below them, which must be filled, and the mapping to turns."""
+    """A record layout: fields that must be filled, fields that may be null (of which those in `present` must exist, the
+    others may be absent), the nested paths that the filled ones must have, and the mapping to turns, given the columns there are."""
 
     name: str
     required: tuple[str, ...]
     optional: tuple[str, ...]
     nested: tuple[str, ...]
-    turns: Callable[[], Column]
+    turns: Callable[[set[str]], Column]
+    present: tuple[str, ...] = ()
 
-    def path_sets(self) -> list[tuple[str, ...]]:
-        some = chain.from_iterable(combinations(self.optional, k) for k in range(len(self.optional) + 1))
+    def path_sets(self, columns: set[str]) -> list[tuple[str, ...]]:
+        """The sets of fields that a record of this layout may fill, of the columns there are."""
+        optional = [x for x in self.optional if x in columns]
+        some = chain.from_iterable(combinations(optional, k) for k in range(len(optional) + 1))
         return [tuple(sorted((*self.required, *x))) for x in some]
 
     def fits(self, schema: T.StructType) -> bool:
-        known = set(field_paths(schema))
-        return {*self.required, *self.optional, *self.nested} <= known
+        return {*self.required, *self.present, *self.nested} <= set(field_paths(schema))
+
+    def filled(self) -> Column:
+        """Whether a record fills what this layout needs, whatever else it fills."""
+        needed = [F.col(x).isNotNull() for x in self.required]
+        return reduce(lambda a, b: a & b, needed) if needed else reduce(lambda a, b: a | b, [F.col(x).isNotNull() for x in self.present])
 
 
 def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.cast("string").alias("role"), text.cast("string").alias("text"))
 
 
-def _listed(column: str, role: str, text: str) -> Callable[[], Column]:
-    return lambda: F.transform(F.col(column), lambda m: _turn(m[role], m[text]))
+def _listed(column: str, role: str, text: str) -> Callable[[set[str]], Column]:
+    return lambda _: F.transform(F.col(column), lambda m: _turn(m[role], m[text]))
 
 
-def _pair(first: Callable[[], Column], answer: str) -> Callable[[], Column]:
-    return lambda: F.array(_turn(F.lit("user"), first()), _turn(F.lit("assistant"), F.col(answer)))
+def _pair(asked: tuple[str, ...], answer: str) -> Callable[[set[str]], Column]:
+    """A user turn of the asked fields that are there and not empty, and an assistant turn."""
+    return lambda columns: F.array(_turn(F.lit("user"), F.concat_ws("\n\n", *[F.nullif(F.col(x).cast("string"), F.lit("")) for x in asked if x in columns])), _turn(F.lit("assistant"), F.col(answer)))
 
 
+#: Where a record fills more than one layout needs, the one that needs most wins, and of equal ones the first here.
 LAYOUTS = (
-    Layout("turn_rows", (), ("turn", "role", "text"), (), lambda: F.array(_turn(F.col("role"), F.col("text")))),
     Layout("messages", ("messages",), (), ("messages[].role", "messages[].content"), _listed("messages", "role", "content")),
     Layout("from_value", ("conversations",), (), ("conversations[].from", "conversations[].value"), _listed("conversations", "from", "value")),
-    Layout("prompt_response", ("prompt", "response"), (), (), _pair(lambda: F.col("prompt"), "response")),
-    Layout("prompt_completion", ("prompt", "completion"), (), (), _pair(lambda: F.col("prompt"), "completion")),
-    Layout("instruction", ("instruction", "output"), ("input",), (), _pair(lambda: F.concat_ws("\n\n", "instruction", F.nullif(F.col("input"), F.lit(""))), "output")),
+    Layout("instruction", ("instruction", "output"), ("input",), (), _pair(("instruction", "input"), "output")),
+    Layout("prompt_response", ("prompt", "response"), (), (), _pair(("prompt",), "response")),
+    Layout("prompt_completion", ("prompt", "completion"), (), (), _pair(("prompt",), "completion")),
+    Layout("turn_rows", (), ("turn", "role", "text"), (), lambda _: F.array(_turn(F.col("role"), F.col("text"))), ("role", "text")),
 )
 
 
@@ -94,7 +105,7 @@ def layouts_of(schema: T.StructType, layouts: Sequence[Layout] = LAYOUTS) -> lis
 def fingerprint(schema: T.StructType, layouts: Sequence[Layout]) -> Column:
     """Hash of the field paths that a record fills, among the fields that some layout knows."""
     paths = field_paths(schema)
-    known = sorted({f for x in layouts for f in (*x.required, *x.optional)})
+    known = sorted({f for x in layouts for f in (*x.required, *x.optional)} & set(schema.names))
     nested = {p for x in layouts for p in x.nested}
     filled = [F.when(F.col(f).isNotNull(), F.lit(_with_nested(f, paths, nested))) for f in known]
     return F.xxhash64(F.concat_ws(",", *filled) if filled else F.lit(""))
@@ -107,14 +118,17 @@ def _with_nested(field: str, paths: Sequence[str], nested: set[str]) -> str:
 def canonical_turns(records: DataFrame, key: str = "conv_id", order: str = "turn", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """records as (conv_id, turn, layout, turns): the canonical turns of each record by its fingerprint's mapping."""
     here = layouts_of(records.schema, layouts)
-    paths = field_paths(records.schema)
+    paths, columns = field_paths(records.schema), set(records.columns)
     nested = {p for x in here for p in x.nested}
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
+    # a record that fills fields of several layouts has a fingerprint of its own: what it fills decides, by precedence
+    for x in sorted(reversed(here), key=lambda x: len(x.required)):
+        name, turns = F.when(x.filled(), F.lit(x.name)).otherwise(name), F.when(x.filled(), x.turns(columns)).otherwise(turns)
     mark = F.col("__fingerprint")
     for x in reversed(here):
-        hashes = [F.xxhash64(F.lit(",".join(_with_nested(f, paths, nested) for f in s))) for s in x.path_sets()]
+        hashes = [F.xxhash64(F.lit(",".join(_with_nested(f, paths, nested) for f in s))) for s in x.path_sets(columns)]
         chosen = reduce(lambda a, b: a | b, [mark == h for h in hashes])
-        name, turns = F.when(chosen, F.lit(x.name)).otherwise(name), F.when(chosen, x.turns()).otherwise(turns)
+        name, turns = F.when(chosen, F.lit(x.name)).otherwise(name), F.when(chosen, x.turns(columns)).otherwise(turns)
     number = F.col(order).cast("long") if order in records.columns else F.lit(0).cast("long")
     marked = records.withColumn("__fingerprint", fingerprint(records.schema, here))
     return marked.select(F.col(key).cast("long").alias("conv_id"), number.alias("turn"), name.alias("layout"), turns.alias("turns"))
@@ -171,20 +185,21 @@ def render(turns: Column) -> Column:
 
 
 def format_chats(records: DataFrame, key: str = "conv_id", order: str = "turn", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """One row per conversation: conv_id, formatted text, loss_mask spans, n_turns, layouts met."""
+    """One row per conversation: conv_id, formatted text, loss_mask spans, n_turns, layouts met, n_unmatched records."""
     rows = canonical_turns(records, key, order, layouts).withColumn("parts", render(F.col("turns")))
     text, spans, chars = _join_parts(F.col("parts"))
-    rows = rows.select("conv_id", "turn", "layout", text.alias("text"), spans.alias("spans"), chars.alias("chars"))
+    unmatched = F.when(F.col("layout").isNull(), 1).otherwise(0).cast("long").alias("n_unmatched")
+    rows = rows.select("conv_id", "turn", "layout", unmatched, text.alias("text"), spans.alias("spans"), chars.alias("chars"))
 
     def gather(df: DataFrame, by: list[str], at: str) -> DataFrame:
         parts = F.sort_array(F.collect_list(F.struct(F.col(at), F.col("text"), F.col("spans"), F.col("chars"))))
-        grouped = df.groupBy(*by).agg(parts.alias("parts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("layouts")))).alias("layouts"))
+        grouped = df.groupBy(*by).agg(parts.alias("parts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("layouts")))).alias("layouts"), F.sum("n_unmatched").alias("n_unmatched"))
         text, spans, chars = _join_parts(F.col("parts"))
-        return grouped.select(*by, "layouts", text.alias("text"), spans.alias("spans"), chars.alias("chars"))
+        return grouped.select(*by, "layouts", "n_unmatched", text.alias("text"), spans.alias("spans"), chars.alias("chars"))
 
     rows = rows.withColumns({"block": F.floor(F.col("turn") / BLOCK_TURNS), "layouts": F.array_compact(F.array("layout"))})
     whole = gather(gather(rows, ["conv_id", "block"], "turn"), ["conv_id"], "block")
-    return whole.select("conv_id", F.col("text").alias("formatted"), F.col("spans").alias("loss_mask"), F.size("spans").cast("long").alias("n_turns"), "layouts")
+    return whole.select("conv_id", F.col("text").alias("formatted"), F.col("spans").alias("loss_mask"), F.size("spans").cast("long").alias("n_turns"), "layouts", "n_unmatched")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -202,10 +217,13 @@ def read_text(turn: Column) -> Column:
 
 
 def read_loss_text(formatted: Column, loss_mask: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
+    """All text under the loss mask, unescaped, in order; null where the mask's offsets are not those of the formatted text."""
     both = F.arrays_zip(read_turns(formatted).alias("turn"), loss_mask.alias("span"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(True).alias("true"))
+    walked = F.aggregate(both, start, lambda acc, x: F.struct((acc["at"] + F.length(x["turn"]) + len(CLOSE)).cast("long").alias("at"), (acc["true"] & F.coalesce(x["span"]["turn_start"] == acc["at"], F.lit(False))).alias("true")))
     trained = F.filter(both, lambda x: x["span"]["loss"])
-    return F.array_join(F.transform(trained, lambda x: unescape(F.substring(x["turn"], (x["span"]["start"] - x["span"]["turn_start"] + 1).cast("int"), (x["span"]["end"] - x["span"]["start"]).cast("int")))), "")
+    texts = F.transform(trained, lambda x: unescape(F.substring(x["turn"], (x["span"]["start"] - x["span"]["turn_start"] + 1).cast("int"), (x["span"]["end"] - x["span"]["start"]).cast("int"))))
+    return F.when(walked["true"] & (walked["at"] == F.length(formatted)), F.array_join(texts, ""))
 
 
 def digests(chats: DataFrame) -> DataFrame:
