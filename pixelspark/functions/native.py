@@ -36,6 +36,49 @@ def error_name(code: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in S.ERRORS.items() for x in kv]), code)
 
 
+def error_message(code: Column) -> Column:
+    """What a user is told about a code."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in S.MESSAGES.items() for x in kv]), code), F.lit("unknown error"))
+
+
+def hdr_note(hdr: Column) -> Column:
+    return F.when(hdr == "preserved", "  hdr gain map preserved").when(hdr == "dropped", "  HDR GAIN MAP DROPPED").otherwise("")
+
+
+def ratio(new: Column, old: Column) -> Column:
+    """New size over old; null for an empty file."""
+    return new / F.nullif(old, F.lit(0))
+
+
+def score_or_null(score: Column) -> Column:
+    return F.when(~F.isnan(score), score)
+
+
+def megapixels(width: Column, height: Column) -> Column:
+    return width.cast("double") * height.cast("double") / 1e6
+
+
+def file_name(path: Column) -> Column:
+    """The last part of a path."""
+    return F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1)
+
+
+def has_alpha(alphas: Column) -> Column:
+    """Whether any of an array of alpha values lets the background through."""
+    return F.exists(alphas, lambda a: a != 255)
+
+
+def interpolated(probes: Column, target: Column) -> Column:
+    """The quality between the nearest scores below and at or above the target, on a straight line; null without both.
+
+    probes: an array of (quality, score) in the order of probing, the first of equal scores counts.
+    """
+    ranked = F.transform(probes, lambda p, k: F.struct(p["score"].cast("double").alias("score"), k.alias("k"), p["quality"].cast("double").alias("quality")))
+    below = F.array_max(F.transform(F.filter(ranked, lambda p: p["score"] < target), lambda p: F.struct(p["score"].alias("score"), (-p["k"]).alias("k"), p["quality"].alias("quality"))))
+    above = F.array_min(F.filter(ranked, lambda p: p["score"] >= target))
+    return below["quality"] + (target - below["score"]) / F.nullif(above["score"] - below["score"], F.lit(0.0)) * (above["quality"] - below["quality"])
+
+
 def fixed(value: Column, digits: int) -> Column:
     """Digits after the point, halves to even as in C; without thousands separators."""
     return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))

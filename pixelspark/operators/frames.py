@@ -1,4 +1,8 @@
-"""Container operators over DataFrames of binary content; one row in gives one typed row out."""
+"""Container operators over DataFrames of binary content; one row in gives one typed row out.
+
+A null content gives what the operator gives for no file (mostly null), an empty table an empty one, repeated rows are
+treated alike, and a content on which an operator fails gives null and does not end the task.
+"""
 
 from __future__ import annotations
 
@@ -18,30 +22,43 @@ def _scalar(kind: str, one: Callable) -> Callable[[Column | str], Column]:
         @F.pandas_udf(kind)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                yield pd.Series([one(None if x is None else bytes(x)) for x in batch], dtype=object)
+                yield pd.Series([_fenced(one, x) for x in batch], dtype=object)
 
         return run(content)
 
     return column
 
 
+def _fenced(one: Callable, *contents: object) -> object:
+    """one(contents as bytes); null where it fails."""
+    try:
+        return one(*[None if x is None else bytes(x) for x in contents])
+    except Exception:  # noqa: BLE001  one damaged file must not end a job of millions
+        return None
+
+
 strip_png = _scalar("binary", png.strip)
 strip_jpeg = _scalar("binary", jpeg.strip)
 icc_profile = _scalar("binary", jpeg.icc_profile)
 orientation = _scalar("int", jpeg.orientation)
-needles = _scalar("array<string>", jpeg.needles)
 signals_hdr = _scalar("boolean", jpeg.signals_hdr)
 png_chunks = _scalar("array<struct<ord:int,kind:string,offset:long,length:long>>", lambda x: None if (c := png.chunks(x)) is None else [(k, v.kind.decode("latin-1"), v.offset, len(v.whole)) for k, v in enumerate(c)])
 jpeg_segments = _scalar("array<struct<ord:int,marker:int,payload_start:long,length:long>>", lambda x: [(k, s.marker, s.start, len(s.payload)) for k, s in enumerate(jpeg.segments(x))])
 picture_ranges = _scalar("array<struct<start:long,size:long>>", jpeg.picture_ranges)
 
 
+def needles(content: Column | str) -> Column:
+    """Which of the byte strings that tell of metadata the content holds; null counts as empty."""
+    raw = F.coalesce(F.col(content) if isinstance(content, str) else content, F.lit(b""))
+    return F.array_compact(F.array(*[F.when(F.contains(raw, F.lit(n)), F.lit(n.decode())) for n in jpeg.NEEDLES]))
+
+
 def carry_colour(original: Column | str, encoded: Column | str) -> Column:
     """encoded with the colour chunks of original that it lacks."""
 
     @F.pandas_udf("binary")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if y is None else png.with_colour(bytes(y), png.colour_chunks(None if x is None else bytes(x))) for x, y in zip(a, b, strict=True)], dtype=object)
+        return pd.Series([_fenced(lambda x, y: None if y is None else png.with_colour(y, png.colour_chunks(x)), x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return run(original, encoded)
 
@@ -51,7 +68,7 @@ def attach_picture(primary: Column | str, secondary: Column | str) -> Column:
 
     @F.pandas_udf("binary")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jpeg.attach(bytes(x), [bytes(y)]) for x, y in zip(a, b, strict=True)], dtype=object)
+        return pd.Series([_fenced(lambda x, y: None if x is None or y is None else jpeg.attach(x, [y]), x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return run(primary, secondary)
 
@@ -61,25 +78,13 @@ def strip_display(content: Column | str) -> Column:
 
     @F.pandas_udf("struct<data:binary,hdr:string>")
     def run(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([jpeg.strip_keeping_display(None if x is None else bytes(x)) for x in batch], columns=["data", "hdr"])
+        return pd.DataFrame([_fenced(jpeg.strip_keeping_display, x) or (None, None) for x in batch], columns=["data", "hdr"]).astype(object)
 
     return run(content)
 
 
 def optimize_strip(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
     """Strip results of files (path, content) in the result columns: done, already_optimal or failed."""
-    from ..functions.native import error_name, never_grow, sniff
-
-    raw = F.col(content)
-    kind = F.when(raw.isNull() | (F.octet_length(raw) == 0), "unknown").otherwise(sniff(raw))
-    rows = files.select(F.col(path).alias("path"), kind.alias("format"), raw.alias("__raw"))
-    got = rows.withColumns({"__jpeg": strip_display(F.when(F.col("format") == "jpeg", F.col("__raw"))), "__png": strip_png(F.when(F.col("format") == "png", F.col("__raw")))})
-    data = F.when(F.col("format") == "png", F.col("__png")).otherwise(F.col("__jpeg.data"))
-    code: Column = F.when(F.coalesce(F.octet_length("__raw"), F.lit(0)) == 0, 7).when(F.col("data").isNull(), 1).otherwise(never_grow(F.octet_length("data"), F.octet_length("__raw")))
-    out = got.withColumn("data", data).withColumn("error_code", code)
-    return out.select(
-        "path", F.lit("strip").alias("mode"), "format", F.when(F.col("error_code") == 0, "done").when(F.col("error_code") == 6, "already_optimal").otherwise("failed").alias("state"), F.when(F.col("error_code") == 0, F.col("data")).alias("data"), F.octet_length("data").cast("long").alias("bytes"),
-        F.octet_length("__raw").cast("long").alias("original_bytes"), F.when(F.col("format") == "jpeg", F.col("__jpeg.hdr")).otherwise("absent").alias("hdr"), F.col("error_code").cast("int").alias("error_code"), error_name(F.col("error_code")).alias("error_message"),
-    )
-
+    from .reencode import optimize
 
+    return optimize(files.select(F.col(path).alias("path"), F.col(content).alias("content")), "strip")

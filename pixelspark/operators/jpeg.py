@@ -11,6 +11,8 @@ MPF, ISO_GAIN_MAP = b"MPF\0", b"urn:iso:std:iso:ts:21496"
 GAIN_MAP = (b"hdrgainmap", b"iso:ts:21496", b"hdr-gain-map", b"hdrgm:", b"GContainer")
 NEEDLES = (b"GPS", b"Exif", b"ns.adobe.com/xap", b"jumb", b"c2pa", b"Photoshop", b"ICC_PROFILE")
 APP0, APP1, APP2, APP15, COM, SOS, EOI = 0xE0, 0xE1, 0xE2, 0xEF, 0xFE, 0xDA, 0xD9
+# Markers without a length (restarts, start of image, temporary), and what the inspection calls application data.
+ALONE = (0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xD5, 0xD6, 0xD7, 0xD8, 0x01)
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,9 @@ def segments(content: bytes | None) -> list[Segment]:
         marker = content[at + 1]
         if content[at] != 0xFF or marker in (SOS, EOI):
             break
+        if marker in ALONE:
+            at += 2
+            continue
         end = at + 2 + int.from_bytes(content[at + 2 : at + 4], "big")
         if end < at + 4 or end > len(content):
             break
@@ -87,6 +92,10 @@ def strip(content: bytes | None) -> bytes | None:
         if content[at] != 0xFF:
             return None
         marker = content[at + 1]
+        if marker in ALONE:
+            out.append(content[at : at + 2])
+            at += 2
+            continue
         if marker == SOS:
             end = content.find(b"\xff\xd9", at)
             return None if end < 0 else b"".join([*out, content[at : end + 2]])
@@ -188,28 +197,36 @@ def attach(primary: bytes, pictures: list[bytes], iso: bytes | None = None) -> b
 
 
 def strip_keeping_display(content: bytes | None) -> tuple[bytes | None, str]:
-    """A strip that keeps orientation and secondary pictures, and what became of the HDR rendition.
+    """A strip that keeps orientation and secondary pictures, and what became of the HDR rendition."""
+    return strip_result(content)[:2]
+
+
+def strip_result(content: bytes | None) -> tuple[bytes | None, str, int]:
+    """strip_keeping_display with the error code: 1 where the file does not hold, 2 where a picture in it does not.
 
     A file with an index that does not hold, or with pictures that a new index cannot list, is refused, as they would be lost.
     """
     bare = strip(content)
     if bare is None or (picture_index(content) is not None and picture_ranges(content) is None):
-        return None, "absent"
+        return None, "absent", 1
     turned = orientation(content)
     if turned != 1:
         bare = bare[:2] + orientation_segment(turned) + bare[2:]
     pictures = secondaries(content)
     if not pictures:
-        return bare, "dropped" if signals_hdr(content) else "absent"
+        return bare, "dropped" if signals_hdr(content) else "absent", 0
     cleaned = []
     for p in pictures:
         plain = strip(p)
         if plain is None:
-            return None, "absent"
+            return None, "absent", 2
         described = [(s.marker, s.payload) for s in segments(p) if (s.marker == APP1 and s.payload.startswith(XMP)) or (s.marker == APP2 and s.payload.startswith(ISO_GAIN_MAP))]
-        cleaned.append(insert_segments(plain, described) or plain)
+        whole = insert_segments(plain, described)
+        if whole is None:
+            return None, "absent", 2
+        cleaned.append(whole)
     iso = next((s.payload for s in segments(content) if s.marker == APP2 and s.payload.startswith(ISO_GAIN_MAP)), None)
     whole, hdr = attach(bare, cleaned, iso), any(map(is_gain_map, pictures))
     if whole is None:
-        return None, "absent"
-    return whole, "preserved" if hdr or signals_hdr(content) else "absent"
+        return None, "absent", 2
+    return whole, "preserved" if hdr or signals_hdr(content) else "absent", 0

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,28 +20,76 @@ def read_files(spark: SparkSession, path: str, only_images: bool = False) -> Dat
     return files.where(extension_ok(F.col("path"))) if only_images else files
 
 
-def replace_in_place(results: DataFrame) -> DataFrame:
-    """Write data over each local path of finished rows: to a temporary file beside it first, then in one step.
+def _local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
 
-    Returns path and written. A file whose size is no longer original_bytes is left alone, so a repeated task does
-    not replace twice. Store results before calling this: the inputs change under a plan that reads them.
-    """
+
+def _put(data: bytes, place: str, like: str) -> None:
+    """Write data to place in one step, with the mode, dates and extended attributes (tags) of the file `like`."""
+    beside = os.path.join(os.path.dirname(place), f".pixelspark-{uuid.uuid4().hex}.tmp")
+    try:
+        with open(beside, "wb") as f:
+            f.write(data)
+            f.flush()
+            os.fsync(f.fileno())
+        shutil.copystat(like, beside)  # extended attributes too, where the system has them
+        os.utime(beside)
+        os.replace(beside, place)
+    finally:
+        if os.path.exists(beside):
+            os.remove(beside)
+
+
+def _written(results: DataFrame, one: Callable[[str, bytes, int, object], bool]) -> DataFrame:
+    seen = F.col("modificationTime") if "modificationTime" in results.columns else F.lit(None).cast("timestamp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = []
-            for path, data, size in zip(batch["path"], batch["data"], batch["original_bytes"], strict=True):
-                path = path.removeprefix("file:")
-                beside = os.path.join(os.path.dirname(path), f".pixelspark-{uuid.uuid4().hex}.tmp")
+            done, problem = [], []
+            for path, data, size, at in zip(batch["path"], batch["data"], batch["original_bytes"], batch["at"], strict=True):
                 try:
-                    if ok := os.path.getsize(path) == size:
-                        with open(beside, "wb") as f:
-                            f.write(data)
-                        os.replace(beside, path)
-                finally:
-                    if os.path.exists(beside):
-                        os.remove(beside)
-                done.append(ok)
-            yield pd.DataFrame({"path": batch["path"], "written": done})
-
-    return results.where("state = 'done'").select("path", "data", "original_bytes").mapInPandas(run, "path string, written boolean")
+                    done.append(one(_local(path), bytes(data), size, at))
+                    problem.append(None)
+                except OSError as e:  # a file that has gone or may not be written is its own row's matter
+                    done.append(False)
+                    problem.append(str(e))
+            yield pd.DataFrame({"path": batch["path"], "written": done, "problem": problem}).astype(object)
+
+    finished = results.where("state = 'done' AND path IS NOT NULL").select("path", "data", "original_bytes", F.unix_micros(seen).alias("at"))
+    return finished.mapInPandas(run, "path string, written boolean, problem string")
+
+
+def replace_in_place(results: DataFrame) -> DataFrame:
+    """Write data over each local path of finished rows: to a temporary file beside it first, then in one step.
+
+    Returns path, written and problem. A file whose size is no longer original_bytes, or whose time is no longer
+    modificationTime (where results have it), is left alone, so a repeated or speculative task does not replace twice.
+    Store results before calling this: the inputs change under a plan that reads them.
+    """
+
+    def one(path: str, data: bytes, size: int, at: object) -> bool:
+        now = os.stat(path)
+        if now.st_size != size or (at is not None and at == at and abs(now.st_mtime_ns // 1000 - int(at)) >= 1000):
+            return False
+        _put(data, path, path)
+        return True
+
+    return _written(results, one)
+
+
+def write_beside(results: DataFrame, suffix: str = "-small") -> DataFrame:
+    """Write data of finished rows beside the originals, with `suffix` before the extension; the originals stay."""
+
+    def one(path: str, data: bytes, size: int, at: object) -> bool:
+        stem, extension = os.path.splitext(path)
+        _put(data, f"{stem}{suffix}{extension}", path)
+        return True
+
+    return _written(results, one)
+
+
+def require_some(files: DataFrame) -> DataFrame:
+    """files; ValueError where there are none."""
+    if files.isEmpty():
+        raise ValueError("No JPEG or PNG images were selected.")
+    return files

@@ -1,20 +1,68 @@
-"""The job queue: new files of a folder are one micro-batch, optimized once and appended to a results table."""
+"""The job queue: new files of a folder are admitted as jobs with a frozen mode and target, one micro-batch is one pass.
+
+States: a job is waiting when admitted, and done, already_optimal or failed when its pass has written its result. Results
+and jobs are written by batch, over what an earlier attempt of the same batch wrote, so a replayed batch repeats no row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.frames import optimize_strip
+from ..functions.native import concurrency_limit, detail
+from ..operators.reencode import optimize, with_rasters
+from ..schema import MODES, TARGET
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def strip_stream(spark: SparkSession, folder: str, results: str, checkpoint: str) -> StreamingQuery:
-    """Strip every file that is in folder or comes while the query runs; one pass over what is there, then it stops."""
+def admit(files: DataFrame, mode: str, target: float = TARGET) -> DataFrame:
+    """Jobs of files: mode and target are frozen; a path queued twice is one job, as two would write the same file."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    return files.dropDuplicates(["path"]).withColumns({"mode": F.lit(mode), "target": F.lit(target), "state": F.lit("waiting")})
+
+
+def waiting(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """Jobs without a result."""
+    return jobs.join(results.select("path", "mode").distinct(), ["path", "mode"], "left_anti")
+
+
+def states(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """path, mode, state, detail of all jobs: waiting ones too."""
+    told = detail(F.col("original_bytes"), F.col("bytes"), F.col("score"), F.col("hdr"), F.col("quantized"))
+    done = results.select("path", "mode", F.col("state").alias("__state"), F.when(F.col("state") == "done", told).otherwise(F.col("error_message")).alias("detail"))
+    return jobs.join(done, ["path", "mode"], "left").select("path", "mode", F.coalesce("__state", "state").alias("state"), "detail")
+
+
+def bounded(jobs: DataFrame, mode: str, cores: int, ram: int, machines: int = 1) -> DataFrame:
+    """jobs in as many partitions as may be worked on at a time: a pass runs one task, so one picture, in each."""
+    limit = jobs.sparkSession.range(1).select(concurrency_limit(F.lit(mode == "quality"), F.lit(cores), F.lit(ram))).first()[0]
+    return jobs.repartition(max(1, int(limit)) * machines)
 
-    def one_pass(batch: DataFrame, _: int) -> None:
-        optimize_strip(batch.dropDuplicates(["path"])).write.mode("append").parquet(results)
+
+def stream(spark: SparkSession, folder: str, results: str, checkpoint: str, mode: str = "strip", target: float = TARGET, limit: tuple[int, int, int] | None = None) -> StreamingQuery:
+    """Work on every file that is in folder or comes while the query runs; one pass over what is there, then it stops.
+
+    limit: cores and bytes of memory of a machine, and machines; without it, tasks run as the cluster has room.
+    """
+
+    def one_pass(batch: DataFrame, number: int) -> None:
+        jobs = admit(batch, mode, target)
+        if mode != "strip":
+            jobs = jobs.drop("content").join(with_rasters(spark, folder), "path")
+        placed = bounded(jobs, mode, *limit) if limit else jobs
+        optimize(placed, mode, target).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(results)
 
     files = spark.readStream.format("binaryFile").schema(FILES).load(folder)
     return files.writeStream.foreachBatch(one_pass).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def strip_stream(spark: SparkSession, folder: str, results: str, checkpoint: str) -> StreamingQuery:
+    return stream(spark, folder, results, checkpoint, "strip")
+
+
+def clear(results: DataFrame) -> DataFrame:
+    """The queue without its finished jobs."""
+    return results.where(~F.col("state").isin("done", "already_optimal", "failed"))
