@@ -45,6 +45,8 @@ PREFIX = COORDINATES - MATCHES + LEAST
 HOT_SHARE, HOT_LEAST = 2.0**-13, 64
 #: Classes from which a family is compared in blocks, shingles in a block, and tasks that a family is dealt to. None changes the result.
 FAMILY, BLOCK, SALTS = 64, 1 << 16, 16
+#: Rows whose texts are Python objects at a time.
+SLICE_ROWS = 256
 #: Similarity in percent.
 PERCENT = 80
 
@@ -93,7 +95,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in _slices(batches, SLICE_ROWS):
             n, digest, sig = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, size)
@@ -183,7 +185,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> D
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in _slices(batches, SLICE_ROWS):
             sets = [shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "set"])
 

@@ -34,7 +34,7 @@ GROUP_PIECES = 8192
 END_ID = 1
 #: Words and parts remembered per Python worker, of which the older half goes when there are more, and the longest
 #: one remembered. Only speed depends on them.
-MEMORY = 300_000
+MEMORY = 100_000
 MEMORY_LENGTH = 64
 SLICE_CHARS = 500_000
 #: Rows whose texts are Python objects at a time.
