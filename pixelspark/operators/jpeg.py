@@ -68,6 +68,15 @@ def orientation(content: bytes | None) -> int:
     return 1
 
 
+# What the inspection calls application segments; others of FFE0 to FFEF are APPn.
+NAMES = {0xE0: "APP0 JFIF", 0xE1: "APP1 EXIF/XMP", 0xE2: "APP2 ICC/MPF", 0xEA: "APP10 AROT", 0xEB: "APP11 C2PA/JUMBF", 0xED: "APP13 IPTC", 0xEE: "APP14 Adobe"}
+
+
+def segment_name(marker: int) -> str | None:
+    """The name of an application segment; None for any other."""
+    return NAMES.get(marker, "APPn") if APP0 <= marker <= APP15 else None
+
+
 def segment(marker: int, payload: bytes) -> bytes:
     return bytes([0xFF, marker]) + struct.pack(">H", len(payload) + 2) + payload
 

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,17 @@ def write_beside(results: DataFrame, suffix: str = "-small") -> DataFrame:
     return _written(results, one)
 
 
+def stored(results: DataFrame, table: str | None = None) -> DataFrame:
+    """results written as Parquet and read back: to `table`, or to a folder under spark.checkpoint.dir, or else checkpointed in memory and on disk."""
+    spark = results.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if table is None and not shared:
+        return results.persist(StorageLevel.MEMORY_AND_DISK)
+    place = table or f"{shared.rstrip('/')}/results-{uuid.uuid4().hex}"
+    results.write.parquet(place)
+    return spark.read.schema(results.schema).parquet(place)
+
+
 def require_some(files: DataFrame) -> DataFrame:
     """files; ValueError where there are none."""
     if files.isEmpty():
