@@ -67,6 +67,29 @@ def test_chat(spark):
     assert chat.format_chats(rows.limit(0)).count() == 0
 
 
+def test_chat_layouts(spark):
+    kind = "conv_id long, prompt string, response string, completion string, instruction string, output string, conversations array<struct<from:string,value:string>>, layout string, turns string"
+    rows = [
+        (1, "p", "r", None, None, None, None, "x", "y"), (2, "p", None, "c", None, None, None, "x", "y"), (3, None, None, None, "i", "o", None, "x", "y"),
+        (4, None, None, None, None, None, [("user", "q"), ("assistant", "a <turn")], "x", "y"), (5, "p", "r", None, "i", "o", None, "x", "y"), (6, "p", None, None, None, None, None, "x", "y"),
+    ]
+    got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, kind)).collect()}
+    assert [got[k]["layouts"] for k in range(1, 7)] == [["prompt_response"], ["prompt_completion"], ["instruction"], ["from_value"], ["instruction"], []]
+    assert [got[k]["n_turns"] for k in range(1, 7)] == [2, 2, 2, 2, 2, 0] and [got[k]["n_unmatched"] for k in range(1, 7)] == [0, 0, 0, 0, 0, 1]
+    assert got[3]["formatted"] == "<turn user>\ni</turn>\n<turn assistant>\no</turn>\n"
+
+
+def test_long_chats_and_their_offsets(spark):
+    turns = [(9, k, "assistant" if k % 2 else "user", f"t{k} </turn> é" * (k % 5)) for k in range(3 * chat.BLOCK_TURNS + 2)]
+    chats = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    row, back = chats.first(), chat.digests(chats).first()
+    said = [t for _, k, role, t in turns if role == "assistant"]
+    raw = [row["formatted"][s["start"] : s["end"]].replace("\\turn", "turn") for s in row["loss_mask"] if s["loss"]]
+    assert raw == said and back["loss_sha256"] == hashlib.sha256("".join(said).encode()).hexdigest() and row["n_turns"] == len(turns)
+    moved = chats.withColumn("loss_mask", chat._shift(chat.F.col("loss_mask"), chat.F.lit(1)))
+    assert chat.digests(moved).first()["loss_sha256"] is None
+
+
 def test_quality(docs, empty):
     def brute(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
