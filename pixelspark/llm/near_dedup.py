@@ -450,4 +450,22 @@ def op9_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_minhash": op9_minhash}
-ORACLES: dict[str, str] = {}
+#: Shingle sets, every pair of sets of fitting sizes, and components by recursion.
+ORACLES = {
+    "op9_minhash": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), t AS (SELECT doc_id, shingle, n FROM s JOIN n USING (doc_id)
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n + b.n) AS sizes, count(*) AS shared FROM t a JOIN t b
+  ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) GROUP BY ALL
+), l AS (SELECT x, y FROM p WHERE 100 * shared >= {PERCENT} * (sizes - shared)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b
+), c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+}
