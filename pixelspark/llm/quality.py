@@ -8,8 +8,8 @@ form one more bin). A histogram is judged only from a minimum length on, as shor
 A document in a language without a reference is compared with all references and the closest counts; when more than
 half of its characters lie outside ASCII no reference applies to it and the divergence rules let it pass.
 
-Everything is computed row by row from arrays inside the JVM: no shuffle, no Python. Windows are compared by 64-bit
-hashes of their words.
+Everything is computed row by row from arrays inside the JVM: no shuffle, no Python. Words and windows are
+compared by 64-bit hashes.
 
 Edge cases: a null text has no words and fails the base rules; empty and very long texts are read whole; repeated rows are judged
 alike; an empty table gives an empty result; extra columns are ignored by `judge_quality` and kept by `keep_good`.
@@ -17,7 +17,7 @@ alike; an empty table gives an empty result; extra columns are ignored by `judge
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, table
 
+#: WINDOW is a power of two.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
 #: Lengths from which the histograms are judged, and the largest distances that pass.
@@ -71,8 +72,8 @@ def word_reference(r: Reference) -> list[float]:
     return [*r.words.values(), 1.0 - sum(r.words.values())]
 
 
-def _without(chars: str, text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[{chars}]+", ""))
+def _count(chars: str, text: Column) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
 
 
 def count_base(docs: DataFrame) -> DataFrame:
@@ -82,41 +83,43 @@ def count_base(docs: DataFrame) -> DataFrame:
     per element.
     """
     text = F.col("__text")
-    df = docs.withColumns({"__words": F.array_remove(F.split(text, f"[{SPACE_CLASS}]+"), ""), "__chars": F.length(text)})
+    df = docs.withColumns({"__words": F.array_remove(F.split(text, f"[{SPACE_CLASS}]+"), ""), "__chars": F.length(text), "__no_lower": F.regexp_replace(text, f"[{CLASSES['lower']}]+", "")})
+    # what is neither a lower-case letter nor white space: little text, in which the other classes are counted
+    df = df.withColumn("__rest", F.regexp_replace("__no_lower", f"[{SPACE_CLASS}]+", ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
     df = df.withColumns({
         "__lines": F.when(text.contains("\n"), lines).otherwise(F.array().cast("array<string>")),
-        "__hashes": F.when(F.size("__words") > WINDOW, F.transform("__words", lambda w: F.xxhash64(w))),
+        "__hashes": F.transform("__words", lambda w: F.xxhash64(w)),
         "n_words": F.size("__words").cast("long"),
-        "word_chars": _without(SPACE_CLASS, text).cast("long"),
-        "n_symbols": (F.col("__chars") - _without(SYMBOLS, text)).cast("long"),
+        "word_chars": (F.col("__chars") - F.length("__no_lower") + F.length("__rest")).cast("long"),
+        "n_symbols": _count(SYMBOLS, F.col("__rest")).cast("long"),
     })
-    # the hash of each window: of its first word and the seven that follow
-    firsts = F.slice("__hashes", F.lit(1), F.size("__hashes") - (WINDOW - 1))
-    grams = F.transform(firsts, lambda h, i: F.xxhash64(h, *[F.get(F.col("__hashes"), i + k) for k in range(1, WINDOW)]))
-    df = df.withColumns({"__grams": grams, "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")})
+    # hashes of two, four and eight words, each from two of half the length. A window that comes again brings with it seven
+    # pairs and five fours that came before; where fewer did, longer hashes are not needed.
+    df = df.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
+    for name, half, length in (("__pairs", "__hashes", 2), ("__fours", "__pairs", 4), ("__grams", "__fours", 8)):
+        many = F.size(half) - length // 2
+        longer = F.zip_with(F.slice(half, F.lit(1), many), F.slice(half, F.lit(length // 2 + 1), many), lambda a, b: F.xxhash64(a, b))
+        again = F.size(half) - F.size(F.array_distinct(half))
+        df = df.withColumn(name, F.when(again > WINDOW - length // 2, longer))
     order = F.sort_array(F.transform("__grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     df = df.withColumn("__order", F.when(F.size(F.array_distinct("__grams")) < F.size("__grams"), order))
     same = lambda x, k: F.coalesce(F.get(F.col("__order"), k)["g"] == x["g"], F.lit(False))
     df = df.withColumn("__found", F.sort_array(F.transform(F.filter("__order", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
     covered = F.transform("__found", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("__found"), k + 1) - p, F.lit(WINDOW))))
     df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")))
-    return df.drop("__lines", "__hashes", "__grams", "__order", "__found")
-
-
-def _is(word: str) -> Callable[[Column], Column]:
-    return lambda w: w == F.lit(word)
+    return df.drop("__lines", "__pairs", "__fours", "__grams", "__order", "__found")
 
 
 def count_histograms(df: DataFrame, references: Mapping[str, Reference]) -> DataFrame:
     """df with the counts of the character classes and, by language, of the common words."""
-    text, used = F.col("__text"), F.col("__chars")
-    df = df.withColumns({f"__c_{name}": used - _without(chars, text) for name, chars in CLASSES.items() if name not in ("space",)} | {"__c_space": used - F.col("word_chars")})
+    within = {"lower": F.col("__chars") - F.length("__no_lower"), "space": F.col("__chars") - F.col("word_chars")}
+    df = df.withColumns({f"__c_{name}": within[name] if name in within else _count(chars, F.col("__rest")) for name, chars in CLASSES.items()})
     every = sorted({w for r in references.values() for w in r.words})
-    df = df.withColumn("__common", F.filter("__words", lambda w: w.isin(every)))
+    df = df.withColumn("__common", F.filter("__hashes", lambda h: h.isin([F.xxhash64(F.lit(w)) for w in every])))
     for lang, r in references.items():
         asked = (F.col("__lang") == lang) | F.col("__any_lang")
-        counts = F.array(*[F.size(F.filter("__common", _is(k))) for k in r.words])
+        counts = F.array(*[F.size("__common") - F.size(F.array_remove("__common", F.xxhash64(F.lit(k)))) for k in r.words])
         df = df.withColumn(f"__w_{lang}", F.when(asked, counts))
     return df
 
