@@ -1,8 +1,9 @@
 """URL filtering: exact host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 The trees are trained on labelled URLs. `train_from` takes them from a table, at most `max_labelled` of them (the ones
-with the smallest hash, a documented bound on what reaches the driver); the query trains on `labelled_urls`, a fixed
-generated set of ordinary and promotional URLs, as no table labels URLs. Every URL is scored. Features: lengths, path depth, digit ratio, character entropy,
+with the smallest hash, a documented bound on what reaches the driver). The query takes those URLs of its table that the
+rules decide (`rule_labels`), at most RULE_LABELLED of them, and `labelled_urls`, a fixed generated set of ordinary and
+promotional URLs, as no table labels the latter. Every URL is scored. Features: lengths, path depth, digit ratio, character entropy,
 counts of parameters, hyphens and host labels, and smoothed label rates of the host's last label and last two and three labels.
 
 Edge cases: a null URL, or one without "://", has an empty host and path, fits no rule and is judged by the trees as an
@@ -28,6 +29,8 @@ from .exact_dedup import ascii_lower
 
 #: Labelled URLs that may reach the driver for training.
 MAX_LABELLED = 20_000
+#: Of these, URLs labelled by the rules in the query: as many as are generated.
+RULE_LABELLED = 6_000
 FOLDS = 5
 #: host, path prefix, verdict
 RULES = (
@@ -215,11 +218,18 @@ def labelled_urls(n: int = 6000, seed: int = 11) -> tuple[list[str], list[bool]]
     return urls, blocked
 
 
-def train_from(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> UrlModel:
-    """A model from the columns url and blocked; distinct pairs, at most max_labelled of them, chosen by hash."""
+def rule_labels(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
+    """url and blocked of the rows that a rule decides."""
+    base = pages.select(F.col(url).cast("string").alias("url"))
+    _, verdict = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
+    return base.select("url", (verdict == "block").alias("blocked")).where("blocked IS NOT NULL")
+
+
+def train_from(labelled: DataFrame, max_labelled: int = MAX_LABELLED, also: tuple[list[str], list[bool]] = ([], [])) -> UrlModel:
+    """A model from the columns url and blocked; distinct pairs, at most max_labelled of them, chosen by hash, after those of `also`."""
     rows = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select("url", "blocked").distinct()
     got = rows.orderBy(F.xxhash64("url"), "url", "blocked").limit(max_labelled).collect()
-    return train([r["url"] for r in got], [r["blocked"] for r in got])
+    return train([*also[0], *(r["url"] for r in got)], [*also[1], *(r["blocked"] for r in got)])
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -241,7 +251,7 @@ def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url")
-    return judge(pages, train(*labelled_urls()))
+    return judge(pages, train_from(rule_labels(pages), RULE_LABELLED, labelled_urls()))
 
 
 QUERIES = {"op6_url_filter": op6_url_filter}
