@@ -24,7 +24,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash, table
@@ -72,8 +72,8 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int | None = None)
 def number_slots(state: DataFrame, shards: int) -> tuple[DataFrame, dict[int, int]]:
     """state with a position in its shard (linked documents before others), and the shards' sizes.
 
-    Each stored partition numbers its own rows; where its numbers begin follows from a table of
-    partitions x shards x 2 counts.
+    Each stored partition numbers its own rows; where its numbers begin follows from a table of partitions x shards x 2
+    counts, which stays in Spark: one window for each shard over as many rows as there are partitions, twice.
     """
 
     schema = [f for f in state.schema.fields]
@@ -93,16 +93,12 @@ def number_slots(state: DataFrame, shards: int) -> tuple[DataFrame, dict[int, in
     kinds = state.withColumn("kind", (F.col("shard") + F.when(F.col("n") > 1, 0).otherwise(shards)).cast("int"))
     kind_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", kind int, part int, place long"
     numbered = stash(kinds.mapInArrow(run, kind_schema), "slots")
-    parts = numbered.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("c")).collect()  # partitions x shards x 2 rows
-    offset: dict[tuple[int, int], int] = {}
-    size = dict.fromkeys(range(shards), 0)
-    for kind in [k for s in range(shards) for k in (s, s + shards)]:
-        for r in sorted((r for r in parts if r["kind"] == kind), key=lambda r: r["part"]):
-            offset[r["part"], kind] = size[kind % shards]
-            size[kind % shards] += r["c"]
-    spark = state.sparkSession
-    table_ = F.broadcast(spark.createDataFrame([(p, k, o) for (p, k), o in offset.items()], "part int, kind int, base long"))
-    return numbered.join(table_, ["part", "kind"]).withColumn("slot", F.col("base") + F.col("place")).drop("part", "kind", "base", "place"), size
+    shard = F.pmod(F.col("kind"), F.lit(shards))
+    counts = numbered.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("c"))
+    size = dict.fromkeys(range(shards), 0) | {r["s"]: r["c"] for r in counts.groupBy(shard.alias("s")).agg(F.sum("c").alias("c")).collect()}  # a row for each shard
+    before = Window.partitionBy(shard).orderBy("kind", "part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("part", "kind", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    return numbered.join(begins, ["part", "kind"]).withColumn("slot", F.col("base") + F.col("place")).drop("part", "kind", "base", "place"), size
 
 
 def even_out(state: DataFrame, shards: int = SHARDS) -> DataFrame:
