@@ -17,21 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode, else one in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.pixelspark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("spark.pixelspark.checkpoint.dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="pixelspark-")
-            spark.conf.set("spark.pixelspark.checkpoint.dir", found)
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        found = "file://" + tempfile.mkdtemp(prefix="pixelspark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/pixelspark-{uuid.uuid4().hex}"
+        spark.conf.set("spark.pixelspark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
