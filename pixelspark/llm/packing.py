@@ -16,8 +16,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from itertools import islice
+from functools import cached_property, lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import stash, table
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 2048
 #: Expected pieces of a group: it bounds a task's memory and is large enough to fill bins well.
 GROUP_PIECES = 8192
 END_ID = 1
-#: Words and parts remembered per Python worker, of which the older half goes when there are more, and the longest
-#: one remembered. Only speed depends on them.
+#: Words and parts remembered per Python worker, and the longest one remembered. Those not met lately go first. Only
+#: speed depends on them.
 MEMORY = 100_000
 MEMORY_LENGTH = 64
 SLICE_CHARS = 500_000
@@ -47,18 +50,38 @@ LOT = 256
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PLAIN = re.compile("[ \n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \na-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Letters, which no other alternative takes, come first.
+PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \na-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, sequence_tokens long, padded_tokens long"
 
 
+class Memory:
+    """Ids of words or parts: those met lately, and those met before them, which go unless they are met again."""
+
+    def __init__(self):
+        self.late: dict[str, bytes] = {}
+        self.early: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of wanted that are not remembered; the others are in `late` from now on."""
+        if len(self.late) > MEMORY // 2:
+            self.late, self.early = {}, self.late
+        unmet = wanted.difference(self.late)
+        again = unmet.intersection(self.early)
+        self.late.update((x, self.early.pop(x)) for x in again)
+        return list(unmet.difference(again))
+
+
 class WordTokenizer:
     """Ids of the tokenizers library, remembered per part or word for tokenizers that never merge across a space or line feed."""
 
     def __init__(self, path: str):
         import json
+        import os
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; read when a batch is encoded
         from tokenizers import Tokenizer
 
         with open(path) as f:
@@ -67,21 +90,31 @@ class WordTokenizer:
         self.by_word = any(r"[^\s\p{L}\p{N}]+" in p for p in split)  # white space is dropped and ends every token
         normalizers = [n["type"] for n in (steps.get("normalizer") or {}).get("normalizers", ())]
         self.by_part = split == [SPLIT] and normalizers == NORMALIZERS
-        self.own = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        suffix, known = steps["model"].get("end_of_word_suffix"), self.own.get_vocab()
+        self.path = path
+        # parts are normalized and split already, so the tokenizer of parts keeps only what comes after
+        rest = [s for s in steps["pre_tokenizer"]["pretokenizers"] if s["type"] != "Split"]
+        again = steps | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
+        self.of_parts = Tokenizer.from_str(json.dumps(again)) if self.by_part else self.own
+        self.words, self.parts = Memory(), Memory()
+        suffix, known = steps["model"].get("end_of_word_suffix"), self.of_parts.get_vocab()
         self.ends = np.zeros(max(known.values(), default=0) + 1, bool)
         self.ends[[i for w, i in known.items() if suffix and w.endswith(suffix)]] = True
 
-    def _fresh(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.own.encode_batch_fast(words, add_special_tokens=False)]
+    @cached_property
+    def own(self) -> Tokenizer:
+        """The tokenizer as it is, loaded once a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _fresh(self, words: list[str], by: Tokenizer | None = None) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in (by or self.own).encode_batch_fast(words, add_special_tokens=False)]
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         """Ids of each part, encoded many at a time: a part's last token, and no other, has the suffix of word ends."""
         found: list[bytes] = []
         lots = [parts[k : k + LOT] for k in range(0, len(parts), LOT)]
-        for lot, ids in zip(lots, self._fresh([" ".join(lot) for lot in lots]), strict=True):
+        for lot, ids in zip(lots, self._fresh([" ".join(lot) for lot in lots], self.of_parts), strict=True):
             stops = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4
             if len(stops) != len(lot) or stops[-1] != len(ids):
                 found += self._fresh(lot)
@@ -90,18 +123,15 @@ class WordTokenizer:
             found += [ids[a:b] for a, b in zip([0, *at], at, strict=False)]
         return found
 
-    def _remembered(self, memory: dict[str, bytes], held: list[list[str]], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """Ids of each list of words or parts; only those not met before are encoded, all of them at a time."""
-        if len(memory) > MEMORY:
-            for x in list(islice(memory, MEMORY // 2)):
-                del memory[x]
-        fresh = list(set().union(*held).difference(memory))
-        memory.update(zip(fresh, encode(fresh), strict=True))
-        get = memory.__getitem__
+    def _remembered(self, memory: Memory, held: list[list[str]], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of each list of words or parts; only those not remembered are encoded, all of them at a time."""
+        fresh = memory.missing(set().union(*held))
+        memory.late.update(zip(fresh, encode(fresh), strict=True))
+        get = memory.late.__getitem__
         found = [b"".join(map(get, x)) for x in held]
         for x in fresh:
             if len(x) > MEMORY_LENGTH:
-                del memory[x]
+                del memory.late[x]
         return found
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
