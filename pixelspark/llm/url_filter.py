@@ -24,13 +24,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 from .exact_dedup import ascii_lower
 
 #: Labelled URLs that may reach the driver for training.
 MAX_LABELLED = 20_000
 #: Of these, URLs labelled by the rules in the query: as many as are generated.
 RULE_LABELLED = 6_000
+#: Bits of a hash that labelled URLs are counted by to choose those with the smallest one.
+HASH_BITS = 16
 FOLDS = 5
 #: host, path prefix, verdict
 RULES = (
@@ -225,10 +227,25 @@ def rule_labels(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     return base.select("url", (verdict == "block").alias("blocked")).where("blocked IS NOT NULL")
 
 
+def smallest_hashes(rows: DataFrame, most: int, column: str = "url") -> DataFrame:
+    """The `most` rows with the smallest hash of a column (ties by all columns).
+
+    Rows are counted by the first bits of their hash, so all but those up to the place where `most` is reached are left
+    out where they lie: what is then sorted is `most` rows and the share of one place, not `most` rows of each partition.
+    """
+    mark = "__hash"
+    hashed = stash(rows.withColumn(mark, F.xxhash64(column)), "hashed")
+    place = F.shiftright(mark, 64 - HASH_BITS)
+    counts = sorted((r["place"], r["count"]) for r in hashed.groupBy(place.alias("place")).count().collect())  # at most 2 ** HASH_BITS rows
+    reached = np.searchsorted(np.cumsum([n for _, n in counts]), most)
+    last = counts[min(int(reached), len(counts) - 1)][0] if counts else 0
+    return hashed.where(place <= last).orderBy(mark, *rows.columns).limit(most).drop(mark)
+
+
 def train_from(labelled: DataFrame, max_labelled: int = MAX_LABELLED, also: tuple[list[str], list[bool]] = ([], [])) -> UrlModel:
     """A model from the columns url and blocked; distinct pairs, at most max_labelled of them, chosen by hash, after those of `also`."""
     rows = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select("url", "blocked").distinct()
-    got = rows.orderBy(F.xxhash64("url"), "url", "blocked").limit(max_labelled).collect()
+    got = smallest_hashes(rows, max_labelled).collect()
     return train([*also[0], *(r["url"] for r in got)], [*also[1], *(r["blocked"] for r in got)])
 
 

@@ -105,3 +105,13 @@ def test_rule_labels_and_odd_tables(spark):
     held, truth = url_filter.labelled_urls(600, seed=9)
     big = url_filter.train_from(url_filter.rule_labels(pages), 100, url_filter.labelled_urls(3000))
     assert ((big.score(held) > 0) == np.array(truth)).mean() > 0.9
+
+
+def test_smallest_hashes_are_those_of_a_full_sort(spark, monkeypatch):
+    urls = [(f"https://h{i % 97}.org/p/{i}", i % 2 == 0) for i in range(600)] + [("https://twice.org/", True), ("https://twice.org/", False)]
+    rows = spark.createDataFrame(urls, "url string, blocked boolean").repartition(7)
+    full = [tuple(r) for r in rows.selectExpr("url", "blocked", "xxhash64(url) h").orderBy("h", "url", "blocked").drop("h").collect()]
+    for bits, most in ((16, 50), (2, 50), (16, 601), (16, 602), (16, 5000), (2, 1)):
+        monkeypatch.setattr(url_filter, "HASH_BITS", bits)
+        assert [tuple(r) for r in url_filter.smallest_hashes(rows, most).collect()] == full[:most]
+    assert url_filter.smallest_hashes(rows.where("false"), 9).count() == 0
