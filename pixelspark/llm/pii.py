@@ -1,9 +1,11 @@
 r"""Personal data: exact base patterns, and a semi-Markov conditional random field for spans the patterns miss.
 
-The base finds emails, IPv4 addresses, payment cards and international phone numbers by fixed patterns. The model reads
-the surroundings of digits, `@` and the word `dot`. It scores whole candidate spans of at most `MAX_TOKENS` tokens by
+The base finds emails, IPv4 addresses, payment cards and international phone numbers by fixed patterns. The model scores
+every candidate span of the whole text (one token of any length, or up to `MAX_TOKENS` tokens and MAX_SPAN_CHARS characters) by
 features of the span (shape, check sums, digit counts, words before it) rather than of single tokens, and a dynamic
-programme over token positions jointly chooses boundaries and types. It adds national phone numbers, obfuscated emails
+programme over token positions jointly chooses boundaries and types. Every candidate has a digit or the middle of an
+address in it, so text far from these is outside in every segmentation and is not tokenised; the result is that of the
+programme over all tokens of the text. It adds national phone numbers, obfuscated emails
 and `secret` values (passwords, access tokens). Spans that overlap a base span are not added. Its weights are
 trained here by conditional likelihood on sentences from a seeded generator.
 
@@ -81,11 +83,12 @@ def base_spans(text: str) -> list[Span]:
 # --- model ---------------------------------------------------------------------------------------------------------
 
 MAX_TOKENS, MAX_SPAN_CHARS = 14, 128
-#: Characters of context around a trigger, widened to white space within as many again.
-CONTEXT = 64
-TRIGGER = re.compile(r"[0-9@]|\bdot\b")
+#: Every candidate has a digit, or the middle of an address: `@`, or `at` before a host with a dot.
+MIDDLE = r"@|\bat\b(?=[\])]? ?[\w-]+(?:\.| ?[\[(]?\bdot\b))"
+TRIGGER = re.compile(f"[0-9]+|{MIDDLE}", re.A)
 TOKEN = re.compile(r"\w+|[^\w\s]")
-MAIL_SHAPE = re.compile(r"[\w.%+-]+ ?(?:@|[\[(]?\bat\b[\])]?) ?[\w-]+(?: ?(?:\.|[\[(]?\bdot\b[\])]?) ?[\w-]+)+", re.A)
+WORD = re.compile(r"\w*")
+MAIL_SHAPE = re.compile(r"[\w.%+-]+ ?(?:@|[\[(]?\bat\b[\])]?) ?[\w-]+(?:(?:\.| ?[\[(]?\bdot\b[\])]? ?)[\w-]+)+", re.A)
 IP_SHAPE = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 PHONE_SHAPE = re.compile(r"\+?(?:[0-9]{1,3}[ .-])?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}")
 NATIONAL = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}")
@@ -96,19 +99,19 @@ CUES = tuple(frozenset(x.split()) for x in ("password passwd pwd token secret ap
 N_FEATURES = 22
 
 
-def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[float]:
-    """What is seen of the span of tokens i to j - 1 as a whole, and of the words before it."""
+def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, lead: list[tuple[int, int]] = []) -> list[float]:  # noqa: B006
+    """What is seen of the span of tokens i to j - 1 as a whole, and of the words before it. lead: tokens before the first one."""
     a, b = tokens[i][0], tokens[j - 1][1]
     s = text[a:b]
     digits = "".join(c for c in s if "0" <= c <= "9")
-    n, before = len(digits), [text[x:y].lower() for x, y in tokens[max(0, i - 4) : i]]
+    n, before = len(digits), [text[x:y].lower() for x, y in [*lead, *tokens[max(0, i - 4) : i]][-4:]]
     before_at, after_at = text[a - 1 : a], text[b : b + 1]
     letters = sum(c.isalpha() for c in s)
     mail = bool(MAIL_SHAPE.fullmatch(s))
     cue = [float(any(w in c for w in before)) for c in CUES]
     assigned = bool(before) and (before[-1] in "=:" or (len(before) > 1 and before[-1] in "\"'" and before[-2] in "=:"))
     secret = bool(MIXED.fullmatch(s))
-    part = (before_at.isalnum() or after_at.isalnum() or before_at == "_" or (before_at in ".-/" and bool(before_at) and i > 0 and text[tokens[i - 1][0] : tokens[i - 1][1]] == before_at and text[a - 2 : a - 1].isdigit()) or (bool(after_at) and after_at in ".-/" and text[b + 1 : b + 2].isdigit()))
+    part = (before_at.isalnum() or after_at.isalnum() or before_at == "_" or (bool(before_at) and before_at in ".-/" and text[max(0, a - 2) : a - 1].isdigit()) or (bool(after_at) and after_at in ".-/" and text[b + 1 : b + 2].isdigit()))
     return [
         1.0, float(mail), float(mail and "@" not in s), float("@" in s and not mail), float(7 <= n <= 15), float(16 <= n <= 19 and luhn(digits)), float(16 <= n <= 19), float(bool(IP_SHAPE.fullmatch(s)) and all(int(x) < 256 for x in s.split("."))),
         float(bool(PHONE_SHAPE.fullmatch(s))), float(bool(NATIONAL.fullmatch(s))), float(bool(DATE.fullmatch(s))), float(secret), float(bool(HEX.fullmatch(s))), *cue, float(assigned and secret), float(assigned and cue[0] > 0 and secret), float(part), float(letters > 0 and n > 0 and not secret and not mail), float(letters == 0 and n == len(s)),
@@ -117,24 +120,30 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[f
 
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Token ranges that may be an entity: some shape fits the whole span or it is one long mixed token."""
-    out = []
+    out: set[tuple[int, int]] = set()
+    middles = [m.start() for m in re.finditer(MIDDLE, text[tokens[0][0] : tokens[-1][1] + MAX_SPAN_CHARS], re.A)] if tokens else []
+    base, at = tokens[0][0] if tokens else 0, 0
     for i, (a, e) in enumerate(tokens):
         c = text[a]
-        if not (c.isalnum() or c in "+(_"):
+        number, word = "0" <= c <= "9" or c in "+(", c.isalnum() or c == "_"
+        if word and e - a >= 8 and MIXED.fullmatch(text, a, e):
+            out.add((i, i + 1))
+        while at < len(middles) and middles[at] + base < a:
+            at += 1
+        mail = word and at < len(middles) and middles[at] + base - a <= MAX_SPAN_CHARS
+        if not (number or mail):
             continue
-        if MIXED.fullmatch(text, a, e):
-            out.append((i, i + 1))
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
             b = tokens[j - 1][1]
             if b - a > MAX_SPAN_CHARS:
                 break
             if b - a < 7 or not (text[b - 1].isalnum() or text[b - 1] == "_"):
                 continue
-            if (c.isdigit() or c in "+(") and (PHONE_SHAPE.fullmatch(text, a, b) or IP_SHAPE.fullmatch(text, a, b) or (text[a:b].replace(" ", "").replace("-", "").isdigit())):
-                out.append((i, j))
-            elif (c.isalnum() or c == "_") and j - i >= 5 and MAIL_SHAPE.fullmatch(text, a, b):
-                out.append((i, j))
-    return sorted(set(out))
+            if number and (PHONE_SHAPE.fullmatch(text, a, b) or IP_SHAPE.fullmatch(text, a, b) or ((s := text[a:b].replace(" ", "").replace("-", "")).isdigit() and s.isascii())):
+                out.add((i, j))
+            elif mail and j - i >= 5 and MAIL_SHAPE.fullmatch(text, a, b):
+                out.add((i, j))
+    return sorted(out)
 
 
 class SemiMarkovCrf:
@@ -278,46 +287,61 @@ def trained() -> SemiMarkovCrf:
     return model
 
 
-def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around triggers."""
+def zones(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of text, from token border to token border, that hold all candidates: what can be part of a span with a
+    trigger in it. A token without end is part of its zone as a whole."""
     lo = hi = -1
-    n = len(text)
     for m in TRIGGER.finditer(text):
-        if m.end() + CONTEXT <= hi:
-            continue
-        a = max(0, m.start() - CONTEXT)
-        b = min(n, m.end() + 2 * CONTEXT)
+        a = max(0, m.start() - MAX_SPAN_CHARS)
+        if lo >= 0 and a > hi:
+            hi = WORD.match(text, hi).end()
         if lo < 0 or a > hi:
             if lo >= 0:
-                yield _to_spaces(text, lo, hi)
+                yield lo, hi
+            while a > max(0, hi) and text[a - 1].isalnum() | (text[a - 1] == "_"):
+                a -= 1
             lo = a
-        hi = b
+        hi = max(hi, min(len(text), m.end() + MAX_SPAN_CHARS))
     if lo >= 0:
-        yield _to_spaces(text, lo, hi)
-
-
-def _to_spaces(text: str, a: int, b: int) -> tuple[int, int]:
-    """a and b moved outwards to white space, if there is some within CONTEXT characters."""
-    while a and b - a < len(text) and not text[a - 1].isspace():
-        step = re.search(r"\s\S*\Z", text[max(0, a - CONTEXT) : a])
-        a = max(0, a - CONTEXT) + step.start() + 1 if step else max(0, a - CONTEXT)
-        break
-    if b < len(text) and not text[b].isspace():
-        step = re.search(r"\s", text[b : b + CONTEXT])
-        b += step.start() if step else min(CONTEXT, len(text) - b)
-    return a, b
+        yield lo, WORD.match(text, hi).end()
+
+
+def tokens_before(text: str, at: int, most: int = 4) -> list[tuple[int, int]]:
+    """The last tokens before a token border."""
+    out: list[tuple[int, int]] = []
+    while at and len(out) < most:
+        end = at
+        while at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+            at -= 1
+        if at == end:
+            at -= 1
+            if text[at].isspace():
+                continue
+        out.append((at, end))
+    return out[::-1]
 
 
 def model_spans(text: str, model: SemiMarkovCrf) -> list[Span]:
-    """Entities that the model finds."""
-    out: dict[tuple[int, int], str] = {}
-    for a, b in regions(text):
+    """Entities that the model finds in the whole text.
+
+    A token that no candidate holds is outside an entity in every segmentation, so the best one is found for each stretch
+    of candidates that overlap or touch, with the token behind it, where there is one.
+    """
+    out: list[Span] = []
+    for a, b in zones(text):
         tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
         spans = candidates(text, tokens)
-        if spans:
-            x = np.array([features(text, tokens, i, j) for i, j in spans])
-            out.update({(tokens[i][0], tokens[j - 1][1]): KINDS[y] for i, j, y in model.best(len(tokens), spans, x)})
-    return [(k, s, e) for (s, e), k in sorted(out.items())]
+        lead, k = tokens_before(text, a) if spans else [], 0
+        while k < len(spans):
+            first, end, last = spans[k][0], spans[k][1], k
+            while last < len(spans) and spans[last][0] <= end:
+                end, last = max(end, spans[last][1]), last + 1
+            x = np.array([features(text, tokens, i, j, lead) for i, j in spans[k:last]])
+            behind = end < len(tokens) or bool(TOKEN.search(text, b))
+            for i, j, y in model.best(end - first + behind, [(i - first, j - first) for i, j in spans[k:last]], x):
+                out.append((KINDS[y], tokens[i + first][0], tokens[j + first - 1][1]))
+            k = last
+    return out
 
 
 def all_spans(text: str | None, model: SemiMarkovCrf) -> tuple[list[Span], list[Span]]:
@@ -325,8 +349,6 @@ def all_spans(text: str | None, model: SemiMarkovCrf) -> tuple[list[Span], list[
     if not text:
         return [], []
     base = base_spans(text)
-    if not TRIGGER.search(text):
-        return base, base
     taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
     reach = np.maximum.accumulate([e for _, e in taken]) if taken else []

@@ -37,8 +37,9 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8)), at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches whose texts have about `most` bytes at most, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts have `most` bytes (SLICE_BYTES) at most, or one row."""
+    most = most or SLICE_BYTES
     for batch in batches:
         ends = np.cumsum(np.diff(flat(batch.column(column))[1].astype(np.int64)))
         a = 0

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 
@@ -115,3 +116,40 @@ def test_smallest_hashes_are_those_of_a_full_sort(spark, monkeypatch):
         monkeypatch.setattr(url_filter, "HASH_BITS", bits)
         assert [tuple(r) for r in url_filter.smallest_hashes(rows, most).collect()] == full[:most]
     assert url_filter.smallest_hashes(rows.where("false"), 9).count() == 0
+
+
+def whole_text_spans(text, model):
+    """The segmentation of all tokens at once, with every span of up to the method's bound as it was first put."""
+    tokens = [m.span() for m in pii.TOKEN.finditer(text)]
+    spans = set()
+    for i, (a, e) in enumerate(tokens):
+        if pii.MIXED.fullmatch(text, a, e):
+            spans.add((i, i + 1))
+        for j in range(i + 1, min(len(tokens), i + pii.MAX_TOKENS) + 1):
+            s = text[a : tokens[j - 1][1]]
+            if 7 <= len(s) <= pii.MAX_SPAN_CHARS and (s[-1].isalnum() or s[-1] == "_"):
+                number = s[0] in "0123456789+(" and (pii.PHONE_SHAPE.fullmatch(s) or pii.IP_SHAPE.fullmatch(s) or re.fullmatch("[0-9]+", s.replace(" ", "").replace("-", "")))
+                if number or ((s[0].isalnum() or s[0] == "_") and j - i >= 5 and pii.MAIL_SHAPE.fullmatch(s)):
+                    spans.add((i, j))
+    spans = sorted(spans)
+    x = np.array([pii.features(text, tokens, i, j) for i, j in spans]).reshape(-1, pii.N_FEATURES)
+    return [(pii.KINDS[y], tokens[i][0], tokens[j - 1][1]) for i, j, y in model.best(len(tokens), spans, x)]
+
+
+def test_pii_reads_whole_texts():
+    model, draw, found = pii.trained(), random.Random(21), 0
+    token = "a" * 60 + "7" + "b" * 50
+    assert pii.model_spans(f"secret: {token}", model) == [("secret", 8, 119)]
+    far = "w " * 300
+    assert pii.model_spans(f"{far}secret: {'x' * 400}1{'y' * 400} {far}", model) == [("secret", 608, 1409)]
+    assert pii.model_spans("go to the one at thing. Then at last", model) == []
+    for _ in range(400):
+        parts = []
+        for _ in range(draw.randrange(1, 9)):
+            long = "".join(draw.choices("abcdefgh_é", k=draw.randrange(1, 260)))
+            parts += [pii._sentence(draw)[0], draw.choice((" ", "\n" * 9, "", ": ", " " * 200)), draw.choice((long, long + "4" + long, "password = " + long + "9", "word " * draw.randrange(80), "12 " * draw.randrange(9), "(((+1", "é", "x at y.z dot com", "a@", "at", "²³¹²³¹²³"))]
+        text = "".join(parts)
+        want = whole_text_spans(text, model)
+        found += len(want)
+        assert pii.model_spans(text, model) == want, text
+    assert found > 500
