@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash, table
-from .terms import ALNUM, Sums, slices, split
+from .terms import ALNUM, SLICE_BYTES, Sums, slices, split
 
 #: Postings of a shard, (item, term) rows of a block of items, rows of the result for each item.
 SHARD_POSTINGS, BLOCK_TERMS, TOP = 1 << 20, 1 << 18, 20
@@ -103,7 +103,7 @@ def build(docs: DataFrame, shard_postings: int = SHARD_POSTINGS) -> Index:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, min(SLICE_BYTES, 4 * shard_postings)):
             row, term, tf, words, n = _postings(batch.column(1))
             m = 75 + (25 * n * n_docs) // max(1, n_terms)
             impact = (1_000_000_000 * tf) // (1000 * tf + 12 * m[row])

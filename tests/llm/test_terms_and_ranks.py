@@ -72,7 +72,6 @@ def ranked(docs, items, top):
 @pytest.mark.parametrize("postings, block", [(1 << 20, 1 << 18), (300, 40)])
 def test_lexical_search(spark, monkeypatch, postings, block):
     monkeypatch.setattr(lexical_search, "BLOCK_TERMS", block)
-    monkeypatch.setattr(terms, "SLICE_BYTES", postings)
     texts = ODD + prose(300, 1) + ["same text here"] * 70  # more ties at the border than rows of a result
     docs = list(enumerate(texts)) + [(None, "same text here"), (5, "w1 w2 repeated key")]
     items = [(1, "w1 W2 w2, w39"), (2, "same"), (3, None), (4, "nothing like it"), (5, "the É x"), (6, ""), *enumerate(prose(12, 5), 10)]
