@@ -7,7 +7,7 @@ r"""Source divergence audit: how far apart the sources of each language are in t
    every occurrence of a whole term is found once, also where two of them share a delimiter. A vocabulary larger than
    BLOCK_TERMS is taken in blocks, a pass each, so that no task holds more patterns than that.
 3. Counts by (language, source, term) are sparse postings. The terms of a language are dealt to buckets of about
-   BUCKET_CELLS (source, term) cells; a bucket is a dense array of the sources' shares, from which each task makes one
+   BUCKET_CELLS (source, term) cells (more where a language has very many sources); a bucket is a dense array of the sources' shares, from which each task makes one
    partial sum for each pair of sources and its best rows for each source. Pairs are never rows for each term.
 
 All shares are floor(SCALE * (count + 5) / (N + 5 * V)) + 1, by a long division that stays within 64 bits.
@@ -33,8 +33,9 @@ from .common import stash, table
 from .terms import LETTERS, Sums, flat, slices, split
 
 LEAST_DOCUMENTS, TOP, SCALE = 30, 50, 1_000_000_000
-#: Patterns of an automaton, and cells of a bucket. Neither changes the result.
-BLOCK_TERMS, BUCKET_CELLS = 1 << 18, 1 << 19
+#: Patterns of an automaton, and cells of a bucket: at least, and at most where the sources of a language are so many that
+#: a bucket's partial sums of pairs would outnumber its cells. None changes the result.
+BLOCK_TERMS, BUCKET_CELLS, MOST_CELLS = 1 << 18, 1 << 15, 1 << 22
 #: Bytes with delimiters as one character; 0x20 is no byte of a term.
 PADDED = np.where(LETTERS == 0, np.uint8(0x20), LETTERS).tobytes()
 FINDINGS = "lang string, source string, part string, item string, value long"
@@ -173,7 +174,9 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, block_t
     of_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     sized = groups.join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0, ["total", "terms"])
     every = Window.partitionBy("lang")
-    facts = stash(sized.withColumns({"of_lang": F.sum("total").over(every), "buckets": F.greatest(F.lit(1), F.ceil(F.col("terms") * F.count(F.lit(1)).over(every) / bucket_cells))}), "facts")
+    many = F.count(F.lit(1)).over(every)
+    cells = F.greatest(F.lit(bucket_cells), F.least(4 * many * many, F.lit(MOST_CELLS)))
+    facts = stash(sized.withColumns({"of_lang": F.sum("total").over(every), "buckets": F.greatest(F.lit(1), F.ceil(F.col("terms") * many / cells))}), "facts")
     dealt = counted.join(facts.groupBy("lang").agg(F.first("buckets").alias("buckets")), "lang").withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")))
     sides = facts.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))
     met = dealt.select("lang", "bucket", "source", "term", "n").groupBy("lang", "bucket").cogroup(sides.drop("buckets").groupBy("lang", "bucket"))

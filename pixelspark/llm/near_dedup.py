@@ -12,7 +12,10 @@ r"""Near-duplicate detection by a signature-coordinate inverted join.
    Verified links give first components. What agreeing signatures hold together is a family.
 4. What can still be linked lies in different components. A large family counts as one in a list: a class that shares
    enough tokens with it, or lies in it but outside its main component, is compared with all its members in blocks, and
-   no pair becomes a row. Other classes of one list are paired when they share enough tokens.
+   no pair becomes a row. Of other classes, those of one short list are paired when they share enough tokens in short
+   lists. A pair that agrees and does not is together in a long list (of more than LONG: a boilerplate that many documents
+   share), at a place no later than their bound: long lists are compared in blocks on the signatures, and the classes that
+   agree with any are compared in blocks on the full sets, as families are. Only links become rows.
 5. Compared pairs must agree in MATCHES coordinates (in blocks: no need) and are confirmed on the full sets.
 6. Components come from alternating large-star and small-star rounds; between them each task joins the edges it holds.
 
@@ -45,6 +48,8 @@ PREFIX = COORDINATES - MATCHES + LEAST
 HOT_SHARE, HOT_LEAST = 2.0**-13, 64
 #: Classes from which a family is compared in blocks, shingles in a block, and tasks that a family is dealt to. None changes the result.
 FAMILY, BLOCK, SALTS = 64, 1 << 16, 16
+#: Entries from which a list is compared in blocks, classes in such a block, nodes that a task holds to join edges. None changes the result.
+LONG, LIST_BLOCK, FOREST_NODES = 64, 4096, 1 << 19
 #: Rows whose texts are Python objects at a time.
 SLICE_ROWS = 256
 #: Similarity in percent.
@@ -140,7 +145,8 @@ def size_band(n: Column) -> Column:
 
 
 def post(classes: DataFrame) -> DataFrame:
-    """token, id: of each class that can agree with another one, those of its PREFIX rarest tokens that others have too.
+    """token, id, place: of each class that can agree with another one, those of its PREFIX rarest tokens that others have
+    too; place: the how manieth of all its tokens, from 1.
 
     Postings are gathered by token once, to count them, and those of shared tokens once more by class. Hot tokens are not
     gathered: each of their postings is a group of its own.
@@ -161,7 +167,8 @@ def post(classes: DataFrame) -> DataFrame:
     shared = every.withColumn("n", F.when(F.col("hot") > 0, F.col("hot")).otherwise(met)).filter("n > 1")
     mine = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("mine")).filter(F.size("mine") >= MATCHES)
     # the tokens of this class only, COORDINATES less those here, are the rarest
-    return mine.select("id", F.explode(F.slice("mine", F.lit(1), F.size("mine") - (COORDINATES - PREFIX))).alias("p")).select("p.token", "id")
+    first = mine.select("id", (COORDINATES - F.size("mine") + 1).alias("low"), F.posexplode(F.slice("mine", F.lit(1), F.size("mine") - (COORDINATES - PREFIX))).alias("k", "p"))
+    return first.select("p.token", "id", (F.col("low") + F.col("k")).alias("place"))
 
 
 # --- comparing ---------------------------------------------------------------------------------------------------
@@ -218,11 +225,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int)
 
 
 def forest(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the same components, at most one per node of each task: every node with the smallest one its task joins it to."""
+    """Edges (u, v) with the same components: every node with the smallest one that its task joins it to, among FOREST_NODES nodes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}
 
+        def stars() -> Iterator[pa.RecordBatch]:
+            nodes = list(root)
+            tops = list(map(find, nodes))
+            root.clear()
+            for k in range(0, len(nodes), 10_000):
+                out = pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 10_000], pa.int64()), pa.array(tops[k : k + 10_000], pa.int64())], ["u", "v"])
+                yield out.filter(pc.not_equal(out.column(0), out.column(1)))
+
         def find(x: int) -> int:
             top = x
             while (up := root.setdefault(top, top)) != top:
@@ -236,11 +251,9 @@ def forest(edges: DataFrame) -> DataFrame:
                 u, v = find(u), find(v)
                 if u != v:
                     root[max(u, v)] = min(u, v)
-        nodes = list(root)
-        tops = list(map(find, nodes))
-        for k in range(0, len(nodes), 10_000):
-            out = pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 10_000], pa.int64()), pa.array(tops[k : k + 10_000], pa.int64())], ["u", "v"])
-            yield out.filter(pc.not_equal(out.column(0), out.column(1)))
+            if len(root) > FOREST_NODES:  # what is handed on has the same components
+                yield from stars()
+        yield from stars()
 
     return edges.mapInArrow(run, "u long, v long")
 
@@ -273,14 +286,14 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def live_postings(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """token, band, n, id of postings with others in the bands around, of classes with enough of them; reach: the entries
+    """token, band, n, id, place of postings with others in the bands around, of classes with enough of them; reach: the entries
     of their list in these bands; company: the sum of reach over a class."""
-    rows = stash(postings.join(classes.select("id", "n"), "id").select("token", size_band(F.col("n")).alias("band"), "n", "id"), "postings")
+    rows = stash(postings.join(classes.select("id", "n"), "id").select("token", size_band(F.col("n")).alias("band"), "n", "id", "place"), "postings")
     sizes = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("length"))
     near = sizes.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "length").groupBy("token", "band").agg(F.sum("length").alias("reach"))
     mine = Window.partitionBy("id")
     live = rows.join(near.filter("reach > 1"), ["token", "band"]).withColumns({"company": F.sum("reach").over(mine), "held": F.count(F.lit(1)).over(mine)})
-    return stash(live.filter(F.col("held") >= LEAST).select("token", "band", "n", "id", "company"), "live")
+    return stash(live.filter(F.col("held") >= LEAST).select("token", "band", "n", "id", "place", "company"), "live")
 
 
 def compatible(a: str, b: str) -> Column:
@@ -375,20 +388,72 @@ def family_links(asked: DataFrame, members: DataFrame, found: DataFrame, docs: D
     return met.select("ids_x", "components_x", "sets_x", "ids_y", "components_y", "sets_y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def open_pairs(live: DataFrame, found: DataFrame, members: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs of classes in no large family that lie in different components and share enough tokens, less those checked."""
-    rows = live.join(members.select("id"), "id", "left_anti").join(found, "id", "left").select("token", "band", "id", "n", F.coalesce("component", "id").alias("group"))
+def open_lists(live: DataFrame, found: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of classes in no large family, of lists that hold several components: short lists, and long ones up to where they can matter."""
+    rows = live.join(members.select("id"), "id", "left_anti").join(found, "id", "left").select("token", "band", "id", "n", "place", F.coalesce("component", "id").alias("group"))
     # lists that hold a single component have no pair to offer
     near = in_slots(rows)
-    mixed = near.groupBy("token", "slot").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token", "slot")
+    mixed = near.groupBy("token", "slot").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("length")).filter("low <> high").select("token", "slot", "length")
     there = stash(near.join(mixed, ["token", "slot"]), "open")
-    x, y = (there.select("token", "slot", *[F.col(c).alias(c + k) for c in ("band", "id", "n", "group")]) for k in "xy")
+    short = there.filter(F.col("length") <= LONG)
+    # a pair with s < LEAST tokens in short lists shares one in a long list among the first COORDINATES - MATCHES + s + 1 of both
+    few = short.groupBy("id").agg(F.count(F.lit(1)).alias("s"))
+    long = there.filter(F.col("length") > LONG).join(few, "id", "left").filter(F.col("place") <= COORDINATES - MATCHES + 1 + F.least(F.lit(LEAST - 1), F.coalesce("s", F.lit(0))))
+    return short, long.drop("s")
+
+
+def short_pairs(short: DataFrame, checked: DataFrame) -> DataFrame:
+    """Pairs of classes that share enough tokens in short lists, less those checked: at most LONG rows for a posting."""
+    x, y = (short.select("token", "slot", *[F.col(c).alias(c + k) for c in ("band", "id", "n", "group")]) for k in "xy")
     # both of one band meet in two slots: they count in the slot of their own number only
     met = x.join(y, ["token", "slot"]).filter((F.col("idx") < F.col("idy")) & (F.col("groupx") != F.col("groupy")) & ((F.col("bandx") != F.col("bandy")) | (F.col("slot") == F.col("bandx"))) & compatible("nx", "ny"))
     pairs = met.groupBy(F.col("idx").alias("a"), F.col("idy").alias("b")).count().filter(F.col("count") >= LEAST).select("a", "b")
     return pairs.join(checked, ["a", "b"], "left_anti")
 
 
+def codes(classes: DataFrame) -> DataFrame:
+    """id, code: a byte for each coordinate of the signature, equal where the coordinates are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = ((_signatures(batch, 1) * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in short], pa.binary())], ["id", "code"])
+
+    return classes.select("id", "sig").mapInArrow(run, "id long, code binary")
+
+
+def agreeing_in_lists(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, family, n, component: the classes whose signature agrees, as their codes do, with one of another component in a list
+    (family); a row for each class and list at most. A block of a list meets a block at a time."""
+    rows = stash(rows.withColumn("family", F.xxhash64("token", "slot")).drop("token", "slot", "place", "length", "band"), "long")
+    lists = stash(rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("blocks")), "lists")
+    coded = stash(codes(likely(classes, cells(rows.select("id").distinct(), "id"), "id")), "codes")
+    dealt = rows.join(lists, "family").join(coded, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    gathered = stash(dealt.groupBy("family", "blocks", "block").agg(*[F.collect_list(c).alias(c) for c in ("id", "n", "group", "code")]), "blocks")
+    ones = gathered.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    others = gathered.select("family", F.col("block").alias("other"), *[F.col(c).alias(c + "y") for c in ("id", "n", "group", "code")])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                side = [[batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(at, at + 3)] + [np.frombuffer(b"".join(batch.column(at + 3)[k].values.to_pylist()), np.uint8).reshape(-1, COORDINATES).T.copy()] for at in (1, 5)]
+                (ix, nx, gx, cx), (iy, ny, gy, cy) = side
+                hit = np.zeros(len(ix), bool), np.zeros(len(iy), bool)
+                for a in range(0, len(ix), 256):
+                    same = np.zeros((len(ix[a : a + 256]), len(iy)), np.uint8)
+                    for u, v in zip(cx[:, a : a + 256], cy, strict=True):
+                        same += u[:, None] == v[None, :]
+                    p, q = np.nonzero(same >= MATCHES)
+                    p += a
+                    good = (gx[p] != gy[q]) & (100 * np.minimum(nx[p], ny[q]) >= PERCENT * np.maximum(nx[p], ny[q]))
+                    hit[0][p[good]], hit[1][q[good]] = True, True
+                out = [np.concatenate([v[h] for v, h in zip(pair, hit, strict=True)]) for pair in ((ix, iy), (nx, ny), (gx, gy))]
+                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array([batch.column(0)[k].as_py()] * len(out[0]), pa.int64()), pa.array(out[1]), pa.array(out[2])], ["id", "family", "n", "component"])
+
+    met = ones.join(others, ["family", "other"]).select("family", "id", "n", "group", "code", "idy", "ny", "groupy", "codey")
+    return met.mapInArrow(compare, "id long, family long, n long, component long").distinct()
+
+
 def components(docs: DataFrame, size: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     return judged(docs, size).drop("digest")
@@ -412,8 +477,11 @@ def judged(docs: DataFrame, size: int) -> DataFrame:
     members = large_families(agreed, found, signed)
     asked = stash(outsiders(members).union(strangers(live, members)), "asked")
     inside = stash(family_links(asked, members, found, docs, signed, size), "links")
-    rest = stash(agreeing(stash(open_pairs(live, found, members, first), "pairs"), signed), "pairs")
-    more = stash(inside.union(confirmed(rest, docs, signed, size)), "links")
+    short, long = open_lists(live, found, members)
+    rest = stash(agreeing(stash(short_pairs(short, first), "pairs"), signed), "pairs")
+    close = stash(agreeing_in_lists(long, signed), "close")
+    among = family_links(close.select("id", "family"), close, found, docs, signed, size)
+    more = stash(inside.union(confirmed(rest, docs, signed, size)).union(among), "links")
     if not more.isEmpty():
         found = joined(found, more)
     named = classes.select("digest", "id", "doc_id").join(found, "id", "left").select("digest", "doc_id", F.coalesce("component", "id").alias("component"))
