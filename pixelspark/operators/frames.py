@@ -1,4 +1,4 @@
-"""Container operators over DataFrames of binary content; one row in gives one typed row out.
+"""Container operators over DataFrames of binary content; one row in gives one typed row out, and none leaves the JVM.
 
 A null content gives what the operator gives for no file (mostly null), an empty table an empty one, repeated rows are
 treated alike, and a content on which an operator fails gives null and does not end the task.
@@ -6,45 +6,26 @@ treated alike, and a content on which an operator fails gives null and does not
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import jpeg, png
+from ..functions import containers as C
+from . import jpeg
 
 
-def _scalar(kind: str, one: Callable) -> Callable[[Column | str], Column]:
-    """A column function of one byte string; the UDF is made on use, as making one needs a session."""
+def _named(one: Callable[..., Column]) -> Callable[..., Column]:
+    """one, for columns or their names."""
+    return lambda *columns: one(*[F.col(c) if isinstance(c, str) else c for c in columns])
 
-    def column(content: Column | str) -> Column:
-        @F.pandas_udf(kind)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield pd.Series([_fenced(one, x) for x in batch], dtype=object)
 
-        return run(content)
-
-    return column
-
-
-def _fenced(one: Callable, *contents: object) -> object:
-    """one(contents as bytes); null where it fails."""
-    try:
-        return one(*[None if x is None else bytes(x) for x in contents])
-    except Exception:  # noqa: BLE001  one damaged file must not end a job of millions
-        return None
-
-
-strip_png = _scalar("binary", png.strip)
-strip_jpeg = _scalar("binary", jpeg.strip)
-icc_profile = _scalar("binary", jpeg.icc_profile)
-orientation = _scalar("int", jpeg.orientation)
-signals_hdr = _scalar("boolean", jpeg.signals_hdr)
-png_chunks = _scalar("array<struct<ord:int,kind:string,offset:long,length:long>>", lambda x: None if (c := png.chunks(x)) is None else [(k, v.kind.decode("latin-1"), v.offset, len(v.whole)) for k, v in enumerate(c)])
-jpeg_segments = _scalar("array<struct<ord:int,marker:int,payload_start:long,length:long>>", lambda x: [(k, s.marker, s.start, len(s.payload)) for k, s in enumerate(jpeg.segments(x))])
-picture_ranges = _scalar("array<struct<start:long,size:long>>", jpeg.picture_ranges)
+strip_png, strip_jpeg, icc_profile = _named(C.strip_png), _named(C.strip_jpeg), _named(C.icc_profile)
+orientation, signals_hdr = _named(C.orientation), _named(C.signals_hdr)
+png_chunks, jpeg_segments, picture_ranges = _named(C.png_chunks), _named(C.jpeg_segments), _named(C.picture_ranges)
+carry_colour = _named(C.carry_colour)
+attach_picture = _named(lambda primary, secondary: F.when(secondary.isNotNull(), C.attach(primary, F.array(secondary))))
+strip_display = C.strip_display
 
 
 def needles(content: Column | str) -> Column:
@@ -53,36 +34,6 @@ def needles(content: Column | str) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(raw, F.lit(n)), F.lit(n.decode())) for n in jpeg.NEEDLES]))
 
 
-def carry_colour(original: Column | str, encoded: Column | str) -> Column:
-    """encoded with the colour chunks of original that it lacks."""
-
-    @F.pandas_udf("binary")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_fenced(lambda x, y: None if y is None else png.with_colour(y, png.colour_chunks(x)), x, y) for x, y in zip(a, b, strict=True)], dtype=object)
-
-    return run(original, encoded)
-
-
-def attach_picture(primary: Column | str, secondary: Column | str) -> Column:
-    """primary as a multi-picture file with one secondary picture."""
-
-    @F.pandas_udf("binary")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_fenced(lambda x, y: None if x is None or y is None else jpeg.attach(x, [y]), x, y) for x, y in zip(a, b, strict=True)], dtype=object)
-
-    return run(primary, secondary)
-
-
-def strip_display(content: Column | str) -> Column:
-    """data, hdr: a strip that keeps what is displayed."""
-
-    @F.pandas_udf("struct<data:binary,hdr:string>")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_fenced(jpeg.strip_keeping_display, x) or (None, None) for x in batch], columns=["data", "hdr"]).astype(object)
-
-    return run(content)
-
-
 def optimize_strip(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
     """Strip results of files (path, content) in the result columns: done, already_optimal or failed."""
     from .reencode import optimize

@@ -52,19 +52,17 @@ def icc_profile(content: bytes | None) -> bytes | None:
 
 
 def orientation(content: bytes | None) -> int:
-    """The orientation tag of the first Exif block, as written; 1 without one."""
-    block = next((s.payload[6:] for s in segments(content) if s.marker == APP1 and s.payload.startswith(EXIF)), b"")
-    order = {b"MM": "big", b"II": "little"}.get(block[:2])
-    if order is None or len(block) < 8:
-        return 1
-    read = lambda at, n: int.from_bytes(block[at : at + n], order)
-    ifd = read(4, 4)
-    for k in range(read(ifd, 2) if ifd + 2 <= len(block) else 0):
-        at = ifd + 2 + 12 * k
-        if at + 12 > len(block):
-            break
-        if read(at, 2) == 0x0112:
-            return read(at + 8, 2)
+    """The orientation tag of the first Exif block that has one, as written; 1 without one."""
+    for s in segments(content):
+        block = s.payload[6:] if s.marker == APP1 and s.payload.startswith(EXIF) else b""
+        order = {b"MM": "big", b"II": "little"}.get(block[:2])
+        if order is None or len(block) < 8:
+            continue
+        read = lambda at, n: int.from_bytes(block[at : at + n], order)  # noqa: B023, E731
+        ifd = read(4, 4)
+        for at in range(ifd + 2, min(ifd + 2 + 12 * read(ifd, 2), len(block) - 11), 12) if ifd + 2 <= len(block) else ():
+            if read(at, 2) == 0x0112:
+                return read(at + 8, 2)
     return 1
 
 
@@ -179,30 +177,35 @@ def insert_segments(content: bytes, added: list[tuple[int, bytes]]) -> bytes | N
     """content with segments after its leading APP0 and APP1 blocks; None where one is too long."""
     if any(len(p) > 65533 for _, p in added):
         return None
+    at = leading(content)
+    return content[:at] + b"".join(segment(m, p) for m, p in added) + content[at:]
+
+
+def leading(content: bytes) -> int:
+    """Where segments are put in: behind the leading APP0 and APP1 blocks."""
     at = 2
     for s in segments(content):
         if s.marker not in (APP0, APP1):
             break
         at = s.start + len(s.payload)
-    return content[:at] + b"".join(segment(m, p) for m, p in added) + content[at:]
+    return at
 
 
 def attach(primary: bytes, pictures: list[bytes], iso: bytes | None = None) -> bytes | None:
-    """primary with an index of pictures, followed by them."""
+    """primary with an index of pictures (and behind it an ISO block), followed by them; None where a block is too long."""
     n = 1 + len(pictures)
-    extra = [(APP2, iso)] if iso else []
-    room = MPF + bytes(50 + 16 * n)
-    whole = insert_segments(primary, [*extra, (APP2, room)])
-    if whole is None:
+    size = 4 + 50 + 16 * n
+    if size > 65533 or (iso is not None and len(iso) > 65533):
         return None
-    spot = next(s for s in segments(whole) if s.marker == APP2 and s.payload == room)
-    base, at, entries = spot.start + 4, len(whole), [(0x00030000, len(whole), 0)]
-    for p in pictures:
-        entries.append((0, len(p), at - base))
-        at += len(p)
+    behind = segment(APP2, iso) if iso else b""
+    at = leading(primary)
+    # the index tells places from its own header, behind marker, length and tag
+    base, end = at + 8, len(primary) + 4 + size + len(behind)
+    places = [end + sum(map(len, pictures[:k])) - base for k in range(len(pictures))]
     head = struct.pack(">2sHIH", b"MM", 42, 8, 3) + struct.pack(">HHI4s", 0xB000, 7, 4, b"0100") + struct.pack(">HHII", 0xB001, 4, 1, n) + struct.pack(">HHII", 0xB002, 7, 16 * n, 50) + struct.pack(">I", 0)
-    index = MPF + head + b"".join(struct.pack(">IIIHH", kind, length, offset, 0, 0) for kind, length, offset in entries)
-    return whole[: spot.start] + index + whole[spot.start + len(room) :] + b"".join(pictures)
+    listed = [(0x00030000, end, 0), *((0, len(p), place) for p, place in zip(pictures, places, strict=True))]
+    index = MPF + head + b"".join(struct.pack(">IIIHH", kind, length, offset, 0, 0) for kind, length, offset in listed)
+    return primary[:at] + segment(APP2, index) + behind + primary[at:] + b"".join(pictures)
 
 
 def strip_keeping_display(content: bytes | None) -> tuple[bytes | None, str]:
@@ -222,8 +225,9 @@ def strip_result(content: bytes | None) -> tuple[bytes | None, str, int]:
     if turned != 1:
         bare = bare[:2] + orientation_segment(turned) + bare[2:]
     pictures = secondaries(content)
+    told = lambda out: "preserved" if signals_hdr(out) else "dropped" if signals_hdr(content) else "absent"
     if not pictures:
-        return bare, "dropped" if signals_hdr(content) else "absent", 0
+        return bare, told(bare), 0
     cleaned = []
     for p in pictures:
         plain = strip(p)
@@ -235,7 +239,7 @@ def strip_result(content: bytes | None) -> tuple[bytes | None, str, int]:
             return None, "absent", 2
         cleaned.append(whole)
     iso = next((s.payload for s in segments(content) if s.marker == APP2 and s.payload.startswith(ISO_GAIN_MAP)), None)
-    whole, hdr = attach(bare, cleaned, iso), any(map(is_gain_map, pictures))
+    whole = attach(bare, cleaned, iso)
     if whole is None:
         return None, "absent", 2
-    return whole, "preserved" if hdr or signals_hdr(content) else "absent", 0
+    return whole, told(whole), 0

@@ -58,10 +58,6 @@ def _customer_jpeg() -> Column:
     return _jpeg(exif, icc)
 
 
-def _hexed(column: Column) -> Column:
-    return F.hex(column)
-
-
 # --- queries -------------------------------------------------------------------------------------------------------
 
 QUERIES: dict = {}
@@ -87,7 +83,7 @@ STRIPPED = f"{HEAD} || {SQL_CHUNK.format('p_brand', '69434350')} || {SQL_CHUNK.f
 @query(f"SELECT p_partkey, {STRIPPED} AS stripped, (length({STRIPPED}) / 2)::BIGINT AS bytes FROM part")
 def strip_png(spark, sf_dir):
     out = O.strip_png(_part_png())
-    return _table(spark, sf_dir, "part").select("p_partkey", out.alias("out")).select("p_partkey", _hexed(F.col("out")).alias("stripped"), F.octet_length("out").cast("long").alias("bytes"))
+    return _table(spark, sf_dir, "part").select("p_partkey", out.alias("out")).select("p_partkey", F.hex(F.col("out")).alias("stripped"), F.octet_length("out").cast("long").alias("bytes"))
 
 
 @query(f"SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN {STRIPPED} END AS stripped FROM part")
@@ -97,7 +93,7 @@ def strip_png_malformed(spark, sf_dir):
     short = F.substring(whole, F.lit(1), F.octet_length(whole) - 4)
     headless = _png(F.col("p_name"), ("iCCP", F.col("p_brand")))
     made = F.when(k == 0, whole).when(k == 1, lying).when(k == 2, short).otherwise(headless)
-    return _table(spark, sf_dir, "part").select("p_partkey", _hexed(O.strip_png(made)).alias("stripped"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.hex(O.strip_png(made)).alias("stripped"))
 
 
 @query("""
@@ -114,7 +110,7 @@ def png_chunks(spark, sf_dir):
 def png_colour_carry(spark, sf_dir):
     bare = _png(None, ("IDAT", F.col("p_type")))
     once = _table(spark, sf_dir, "part").select("p_partkey", _part_png().alias("original"), O.carry_colour(_part_png(), bare).alias("once"))
-    return once.select("p_partkey", _hexed(O.carry_colour("original", "once")).alias("carried"))
+    return once.select("p_partkey", F.hex(O.carry_colour("original", "once")).alias("carried"))
 
 
 JPEG_STRIPPED = "'FFD8' || 'FFE2' || printf('%04X', 16 + strlen(c_mktsegment)) || '4943435F50524F46494C45000101' || hex(c_mktsegment) || 'FFDA00021122FFD9'"
@@ -122,14 +118,14 @@ JPEG_STRIPPED = "'FFD8' || 'FFE2' || printf('%04X', 16 + strlen(c_mktsegment)) |
 
 @query(f"SELECT c_custkey, {JPEG_STRIPPED} AS stripped FROM customer")
 def strip_jpeg(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").select("c_custkey", _hexed(O.strip_jpeg(F.concat(_customer_jpeg(), F.lit("trailing").cast("binary")))).alias("stripped"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.hex(O.strip_jpeg(F.concat(_customer_jpeg(), F.lit("trailing").cast("binary")))).alias("stripped"))
 
 
 @query(f"SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN {JPEG_STRIPPED} END AS stripped FROM customer")
 def strip_jpeg_malformed(spark, sf_dir):
     whole, k = _customer_jpeg(), F.col("c_custkey") % 3
     made = F.when(k == 0, whole).when(k == 1, F.concat(F.substring(whole, 1, 4), _hex("FF00"), F.substring(whole, 7, 1 << 30))).otherwise(F.substring(whole, F.lit(1), F.octet_length(whole) - 2))
-    return _table(spark, sf_dir, "customer").select("c_custkey", _hexed(O.strip_jpeg(made)).alias("stripped"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.hex(O.strip_jpeg(made)).alias("stripped"))
 
 
 @query("""SELECT c_custkey, 0 AS ord, 225 AS marker, 6::BIGINT AS payload_start, (6 + strlen(c_name))::BIGINT AS length FROM customer
@@ -158,8 +154,12 @@ def icc_reassembly(spark, sf_dir):
 
 @query("SELECT o_orderkey, (o_orderkey % 7 + 2)::INTEGER AS orientation FROM orders")
 def orientation_roundtrip(spark, sf_dir):
-    block = F.concat(_hex("457869660000" + "4D4D002A00000008" + "0001" + "0112000300000001"), _number(F.col("o_orderkey") % 7 + 2, 4), _hex("0000" + "00000000"))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", O.orientation(_jpeg(_segment("E1", block))).alias("orientation"))
+    """Blocks that say it, some behind a block without the tag, in another byte order or cut short."""
+    k, value = F.col("o_orderkey"), _number(F.col("o_orderkey") % 7 + 2, 4)
+    block = F.concat(_hex("457869660000" + "4D4D002A00000008" + "0001" + "0112000300000001"), value, _hex("0000" + "00000000"))
+    other = F.concat(_hex("457869660000" + "49492A0008000000" + "0100" + "1001030001000000" + "0700" + "0000" + "00000000"))
+    files = F.when(k % 3 == 0, _jpeg(_segment("E1", block))).when(k % 3 == 1, _jpeg(_segment("E1", other), _segment("E1", block))).otherwise(_jpeg(_segment("E1", _hex("457869660000" + "4D4D002A")), _segment("E1", other), _segment("E1", block)))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", O.orientation(files).alias("orientation"))
 
 
 NEEDLE = "CASE s_suppkey % 6 WHEN 0 THEN 'hdrgainmap' WHEN 1 THEN 'iso:ts:21496' WHEN 2 THEN 'hdr-gain-map' WHEN 3 THEN 'hdrgm:' WHEN 4 THEN 'GContainer' ELSE 'plain' END"

@@ -38,16 +38,18 @@ def jpeg_attach(spark, sf_dir):
     return _table(spark, sf_dir, "supplier").select("s_suppkey", F.hex(O.attach_picture(_jpeg(_segment("E0", F.lit("JFIF").cast("binary"))), second)).alias("file"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 8 < 5 THEN 'preserved' WHEN s_suppkey % 8 = 6 THEN 'dropped' ELSE 'absent' END AS hdr, (s_suppkey % 8 < 6) AS pictures FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 9 < 5 THEN 'preserved' WHEN s_suppkey % 9 IN (6, 8) THEN 'dropped' ELSE 'absent' END AS hdr, (s_suppkey % 9 < 6 OR s_suppkey % 9 = 8) AS pictures FROM supplier")
 def hdr_state(spark, sf_dir):
-    """What becomes of an HDR rendition in a strip: in a second picture, said by the first one only, or not there."""
-    k = F.col("s_suppkey") % 8
-    note = F.element_at(F.array(*[F.lit(x) for x in ("hdrgainmap", "iso:ts:21496", "hdr-gain-map", "hdrgm:", "GContainer", "plain", "", "")]), (k + 1).cast("int"))
+    """What becomes of an HDR rendition in a strip: in a second picture, said by the first one only (with and without another picture), or not there."""
+    k = F.col("s_suppkey") % 9
+    note = F.element_at(F.array(*[F.lit(x) for x in ("hdrgainmap", "iso:ts:21496", "hdr-gain-map", "hdrgm:", "GContainer", "plain", "", "", "")]), (k + 1).cast("int"))
     primary = _jpeg(_segment("E0", F.lit("JFIF").cast("binary")))
     both = O.attach_picture(primary, _jpeg(_segment("E1", F.concat(F.lit("http://ns.adobe.com/xap/1.0/\0").cast("binary"), note.cast("binary")))))
     says = _jpeg(_segment("E2", F.lit("urn:iso:std:iso:ts:21496").cast("binary")))
-    made = _table(spark, sf_dir, "supplier").select("s_suppkey", O.strip_display(F.when(k < 6, both).when(k == 6, says).otherwise(primary)).alias("out"))
-    return made.select("s_suppkey", F.col("out.hdr").alias("hdr"), (F.size(F.coalesce(O.picture_ranges("out.data"), F.array().cast("array<struct<start:bigint,size:bigint>>"))) > 1).alias("pictures"))
+    quiet = O.attach_picture(_jpeg(_segment("E1", F.lit("http://ns.adobe.com/xap/1.0/\0hdrgm:").cast("binary"))), _jpeg(_segment("E0", F.lit("plain").cast("binary"))))
+    made = _table(spark, sf_dir, "supplier").select("s_suppkey", F.when(k < 6, both).when(k == 6, says).when(k == 7, primary).otherwise(quiet).alias("content"))
+    ranges = F.coalesce(O.picture_ranges("data"), F.array().cast("array<struct<start:bigint,size:bigint>>"))
+    return O.strip_display(made).select("s_suppkey", "hdr", (F.size(ranges) > 1).alias("pictures"))
 
 
 # --- pixels --------------------------------------------------------------------------------------------------------

@@ -28,5 +28,6 @@ TARGET, QUALITY = 80.0, 75.0
 RESULT = {
     "path": "string", "mode": "string", "target": "double", "format": "string", "state": "string", "data": "binary", "bytes": "long", "original_bytes": "long",
     "quality": "double", "score": "double", "best_score": "double", "quantized": "boolean", "hdr": "string", "error_code": "int",
+    "target_met": "boolean", "metadata_removed": "boolean", "modificationTime": "timestamp",
     "error_detail": "struct<reason:string,shorter_side:int,best_score:double,best_bytes:bigint,width:bigint,height:bigint>", "probes": "array<struct<quality:float,score:double,bytes:bigint>>",
 }
