@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,21 @@ def stash(df: DataFrame, name: str, **options: object) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> Iterator[None]:
+    """While this is open, what is run hands at most so many rows and bytes at a time to Python workers, which bounds what a
+    worker and the buffers between it and the JVM hold. For code that runs its jobs itself (`stash`)."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once per row even when body mentions it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

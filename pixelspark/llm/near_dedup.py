@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cells, likely, stash, table
+from .common import cells, likely, small_batches, stash, table
 
 COORDINATES, MATCHES, LEAST = 128, 82, 8
 PREFIX = COORDINATES - MATCHES + LEAST
@@ -461,6 +461,11 @@ def components(docs: DataFrame, size: int) -> DataFrame:
 
 def judged(docs: DataFrame, size: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, digest of the set, component_id, kept."""
+    with small_batches(docs.sparkSession):
+        return _judged(docs, size)
+
+
+def _judged(docs: DataFrame, size: int) -> DataFrame:
     rows = stash(sign(docs, size), "signed")
     grouped = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = stash(grouped.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "*"), "classes")
