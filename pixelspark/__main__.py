@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from .functions import native as N
 from .operators.reencode import optimize, score_pairs, with_rasters
 from .schema import MODES, QUALITY, TARGET
 from .sources import files as sources
+from .sources import sink
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,9 +59,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         return 2
     results = optimize(files, given.mode, given.target, given.quality, given.png_floor)
     # stored before anything is replaced: a plan that reads its inputs again would work on them twice
-    results = sources.stored(results, given.out)
+    results = sources.stored(results, given.out, given.folder)
     if given.in_place or given.beside:
-        written = sources.replace_in_place(results) if given.in_place else sources.write_beside(results, given.beside)
+        written = sink.replace(results, f"{given.folder.rstrip('/')}-journal-{uuid.uuid4().hex}", given.beside or "")
         for row in written.where("NOT written").toLocalIterator():
             print(f"{row['path']}  not written: {row['problem']}", file=sys.stderr)
     for row in report(results).orderBy("name").toLocalIterator():

@@ -15,7 +15,9 @@ does not hold (lenient ones: what is in front of the damage). All positions are
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,22 @@ STEPS = 32
 RANGE = "struct<a:bigint,b:bigint>"
 
 
+_made: dict[tuple, object] = {}
+
+
+def once(make: Callable) -> Callable:
+    """make, which builds columns from names, called once in a Spark application for the same names: a walk has some hundred expressions."""
+
+    @wraps(make)
+    def get(*names: str | None) -> object:
+        key = (SparkContext._active_spark_context.applicationId, make.__qualname__, names)
+        if key not in _made:
+            _made[key] = make(*names)
+        return _made[key]
+
+    return get
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -422,13 +440,9 @@ def strip_picture(picture: Column) -> Column:
     return _let(picture, lambda b: _let(_strip_jpeg(b), lambda plain: F.when(plain.isNotNull(), whole(b, plain))))
 
 
-def strip_display(files: DataFrame, content: str = "content") -> DataFrame:
-    """files with data, hdr and code: a strip that keeps orientation and further pictures, what became of the HDR rendition, and an
-    error code: 1 where the file does not hold, 2 where a picture in it does not.
-
-    A file with an index that does not hold, or with pictures that a new index cannot list, is refused, as they would be
-    lost. `preserved` is said of what signals HDR as it is written.
-    """
+@once
+def _strip_steps(content: str) -> tuple[list[dict[str, Column]], dict[str, Column]]:
+    """The columns that a strip adds one step after the other, and the three that it leaves."""
     c, own = F.col(content), {k: f"__strip_{k}" for k in ("segments", "plain", "ranges", "turned", "pictures", "says", "cleaned", "iso", "bare", "whole", "kept")}
     col = {k: F.col(v) for k, v in own.items()}
     upright = F.when(col["turned"] == 1, col["plain"]).otherwise(F.concat(F.lit(b"\xff\xd8"), orientation_segment(col["turned"]), F.substring(col["plain"], 3, 1 << 30)))
@@ -442,11 +456,22 @@ def strip_display(files: DataFrame, content: str = "content") -> DataFrame:
         {"whole": F.when(F.size(col["pictures"]) > 0, F.when(F.forall(col["cleaned"], lambda x: x.isNotNull()), attach(col["bare"], col["cleaned"], col["iso"]))).otherwise(col["bare"])},
         {"kept": signals_hdr(col["whole"])},
     ]
-    for step in steps:
-        files = files.withColumns({own[k]: v for k, v in step.items()})
     code = F.when(col["plain"].isNull() | (col["ranges"].isNull() & F.coalesce(index, F.lit(False))), 1).when(col["whole"].isNull(), 2).otherwise(0)
     hdr = F.when((code != 0) | ~col["says"], "absent").when(col["kept"], "preserved").otherwise("dropped")
-    return files.withColumns({"data": F.when(code == 0, col["whole"]), "hdr": hdr, "code": code}).drop(*own.values())
+    return [{own[k]: v for k, v in step.items()} for step in steps], {"data": F.when(code == 0, col["whole"]), "hdr": hdr, "code": code}
+
+
+def strip_display(files: DataFrame, content: str = "content") -> DataFrame:
+    """files with data, hdr and code: a strip that keeps orientation and further pictures, what became of the HDR rendition, and an
+    error code: 1 where the file does not hold, 2 where a picture in it does not.
+
+    A file with an index that does not hold, or with pictures that a new index cannot list, is refused, as they would be
+    lost. `preserved` is said of what signals HDR as it is written.
+    """
+    steps, left = _strip_steps(content)
+    for step in steps:
+        files = files.withColumns(step)
+    return files.withColumns(left).drop(*[name for step in steps for name in step])
 
 
 # --- sizes before any decoding -------------------------------------------------------------------------------------

@@ -6,13 +6,12 @@ closed form from the same columns, without walking bytes.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native as N
 from ..operators import frames as O
-from ..operators import search as search_loop
+from ..operators.rounds import search_rounds
 
 # --- containers made from columns ----------------------------------------------------------------------------------
 
@@ -234,12 +233,10 @@ c AS (SELECT p_partkey, original, q, base + 0.6 * q AS score, q * 12 + p_partkey
 SELECT p_partkey, CASE WHEN count(*) FILTER (score >= 80) = 0 THEN 5 WHEN min(size) FILTER (score >= 80) >= any_value(original) THEN 6 ELSE 0 END AS code, (min(q) FILTER (score >= 80))::DOUBLE AS quality FROM c GROUP BY p_partkey""")
 def smallest_satisfying(spark, sf_dir):
     """On score curves that rise evenly, the bracketing search finds what trying every quality finds."""
-    @F.pandas_udf("struct<code:int,quality:double>")
-    def run(key: pd.Series) -> pd.DataFrame:
-        found = [search_loop.search(lambda q, k=k: (35.0 + k % 30 + 0.6 * q, int(q) * 12 + k % 13), 80.0, 1000 + k % 700, budget=12) for k in key.tolist()]
-        return pd.DataFrame({"code": [f.code for f in found], "quality": [f.quality for f in found]})
-
-    return _table(spark, sf_dir, "part").select("p_partkey", run("p_partkey").alias("f")).select("p_partkey", "f.code", "f.quality")
+    k, q = F.col("key"), F.col("quality")
+    files = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.lit(80.0).alias("target"), (1000 + F.col("p_partkey") % 700).alias("original"))
+    outcomes, _ = search_rounds(files, lambda ask: ask.select("key", (35.0 + k % 30 + 0.6 * q).alias("score"), (q * 12 + k % 13).alias("bytes")), budget=12)
+    return outcomes.select(F.col("key").alias("p_partkey"), "code", "quality")
 
 
 # score and bytes at whole qualities: every fifth curve has an inverted stretch, every seventh never reaches 80, every eleventh is never smaller
@@ -247,9 +244,12 @@ CURVE_SCORE = "({k} % 30 + 35.0::DOUBLE + 0.6::DOUBLE * {q} - CASE WHEN {k} % 5
 CURVE_SIZE, CURVE_ORIGINAL = "({q} * 12 + {k} % 13)", "(CASE WHEN {k} % 11 = 0 THEN 100 ELSE 1000 + {k} % 700 END)"
 
 
-def _curve(k: int, q: float) -> tuple[float, int]:
-    score = k % 30 + 35.0 + 0.6 * q - (1.5 * (q - 60) if k % 5 == 0 and 60 <= q <= 75 else 0) - (45 if k % 7 == 0 else 0)
-    return score, int(q) * 12 + k % 13
+def _curve_search(spark, sf_dir):
+    """The rounds over the curves of all parts."""
+    k, q = F.col("key"), F.col("quality")
+    dent = F.when((k % 5 == 0) & q.between(60, 75), 1.5 * (q - 60)).otherwise(0) + F.when(k % 7 == 0, 45).otherwise(0)
+    files = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.lit(80.0).alias("target"), F.when(F.col("p_partkey") % 11 == 0, 100).otherwise(1000 + F.col("p_partkey") % 700).alias("original"))
+    return search_rounds(files, lambda ask: ask.select("key", (k % 30 + 35.0 + 0.6 * q - dent).alias("score"), (q * 12 + k % 13).alias("bytes")))
 
 
 # p: probes so far, as quality and score; a probe gives the next bounds, the next wish and, with it, the next probe or none
@@ -273,12 +273,7 @@ tried AS (SELECT k, count(*) AS probes, min(q) FILTER ({CURVE_SCORE.format(k='k'
 SELECT k AS p_partkey, CASE WHEN q IS NULL THEN 5 WHEN {CURVE_SIZE.format(k='k', q='q')} >= {CURVE_ORIGINAL.format(k='k')} THEN 6 ELSE 0 END AS code, q::DOUBLE AS quality, probes FROM tried""")
 def search_choice(spark, sf_dir):
     """The search with its own budget, on curves with inverted stretches, unreachable targets and files that do not get smaller."""
-    @F.pandas_udf("struct<code:int,quality:double,probes:long>")
-    def run(key: pd.Series) -> pd.DataFrame:
-        found = [search_loop.search(lambda q, k=k: _curve(k, q), 80.0, 100 if k % 11 == 0 else 1000 + k % 700) for k in key.tolist()]
-        return pd.DataFrame({"code": [f.code for f in found], "quality": [f.quality for f in found], "probes": [len(f.probes) for f in found]})
-
-    return _table(spark, sf_dir, "part").select("p_partkey", run("p_partkey").alias("f")).select("p_partkey", "f.code", "f.quality", "f.probes")
+    return _curve_search(spark, sf_dir)[0].select(F.col("key").alias("p_partkey"), "code", "quality", "probes")
 
 
 @query(f"""SELECT p_partkey, 'png' AS format, CASE WHEN p_partkey % 2 = 0 THEN 'done' ELSE 'failed' END AS state, CASE WHEN p_partkey % 2 = 0 THEN (length({STRIPPED}) / 2)::BIGINT END AS bytes, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS error_code FROM part""")

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import native as N
 from ..operators import frames as O
-from ..operators import jpeg_codec, png
-from ..operators import search as search_loop
-from ..operators.reencode import optimize, score_pairs
-from ..schema import MESSAGES
-from .catalog import ORACLES, _curve, _hex, _jpeg, _png, _segment, _table, query
+from ..functions import containers as C
+from ..operators import jpeg_codec, png, rounds
+from ..operators.reencode import optimize, optimize_jobs, score_pairs
+from ..schema import MAX_PIXELS, MESSAGES
+from .catalog import ORACLES, _chunk, _curve_search, _hex, _jpeg, _number, _png, _segment, _table, query
 
 # --- containers ----------------------------------------------------------------------------------------------------
 
@@ -171,13 +171,84 @@ def interpolate(spark, sf_dir):
 @query(ORACLES["search_choice"].rsplit(",\ntried AS", 1)[0] + "\nSELECT k AS p_partkey, n::BIGINT AS probe, q::DOUBLE AS quality FROM probe")
 def search_trace(spark, sf_dir):
     """Every probe of the search, in order."""
-
-    @F.pandas_udf("array<double>")
-    def run(key: pd.Series) -> pd.Series:
-        return pd.Series([[q for q, _, _ in search_loop.search(lambda q, k=k: _curve(k, q), 80.0, 100 if k % 11 == 0 else 1000 + k % 700).probes] for k in key.tolist()])
-
-    tried = _table(spark, sf_dir, "part").select("p_partkey", F.posexplode(run("p_partkey")).alias("probe", "quality"))
-    return tried.select("p_partkey", (F.col("probe") + 1).cast("long").alias("probe"), "quality")
+    return _curve_search(spark, sf_dir)[1].select(F.col("key").alias("p_partkey"), "probe", "quality")
+
+
+@query("""WITH RECURSIVE m AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY l_orderkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS i FROM lineitem),
+c AS (SELECT k, q, (300 + 6 * q + 3 * l_quantity)::DOUBLE / 10 AS s, (q * 12 + floor(l_extendedprice)::BIGINT % 40)::BIGINT AS b FROM m JOIN r ON l_orderkey = k, (SELECT unnest(range(20, 99)) AS q) WHERE i = q % n),
+first AS (SELECT k, least(greatest(floor(least(greatest(8.30::DOUBLE * exp(0.0285::DOUBLE * 80), 30), 98) + 0.5::DOUBLE), 20), 98)::BIGINT AS q FROM m),
+probe AS (
+  SELECT k, q, s, 1 AS n, 20::BIGINT AS lo, 98::BIGINT AS hi, [{'q': q, 's': s}] AS p FROM first JOIN c USING (k, q)
+  UNION ALL
+  SELECT w.k, nq, c.s, n + 1, nlo, nhi, list_append(p, {'q': nq, 's': c.s}) FROM (
+    SELECT *, CASE WHEN NOT list_contains(qs, wq) THEN wq WHEN list_contains(qs, mid) THEN NULL ELSE mid END AS nq FROM (
+      SELECT *, least(greatest(floor(want + 0.5::DOUBLE), nlo), nhi)::BIGINT AS wq, floor((nlo + nhi) / 2.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS mid FROM (
+        SELECT *, CASE WHEN bs IS NOT NULL AND av IS NOT NULL THEN bq + (80 - bs) / (av - bs) * (aq - bq) WHEN av IS NULL THEN nhi ELSE greatest(q - 8, nlo) END AS want FROM (
+          SELECT *, list_transform(p, lambda x: struct_extract(x, 'q')) AS qs,
+            list_max(list_transform(below, lambda x: struct_extract(x, 's'))) AS bs, list_min(list_transform(above, lambda x: struct_extract(x, 's'))) AS av,
+            list_transform(list_filter(below, lambda x: struct_extract(x, 's') = list_max(list_transform(below, lambda y: struct_extract(y, 's')))), lambda x: struct_extract(x, 'q'))[1] AS bq,
+            list_transform(list_filter(above, lambda x: struct_extract(x, 's') = list_min(list_transform(above, lambda y: struct_extract(y, 's')))), lambda x: struct_extract(x, 'q'))[1] AS aq FROM (
+            SELECT k, q, n, p, list_filter(p, lambda x: struct_extract(x, 's') < 80) AS below, list_filter(p, lambda x: struct_extract(x, 's') >= 80) AS above,
+              CASE WHEN s >= 80 THEN lo ELSE q END AS nlo, CASE WHEN s >= 80 THEN q ELSE hi END AS nhi FROM probe WHERE n < 6) WHERE nhi - nlo > 1)))) w JOIN c ON c.k = w.k AND c.q = nq),
+best AS (SELECT k, q, s, b FROM (SELECT probe.k, probe.q, probe.s, c.b, row_number() OVER (PARTITION BY probe.k ORDER BY c.b, n) AS r FROM probe JOIN c USING (k, q) WHERE probe.s >= 80) WHERE r = 1)
+SELECT k AS l_orderkey, CASE WHEN best.q IS NULL THEN 5 WHEN b >= 700 + k % 400 THEN 6 ELSE 0 END AS code, best.q::DOUBLE AS quality, round(best.s, 6) AS score, b AS bytes, probes
+FROM (SELECT k, count(*) AS probes FROM probe GROUP BY k) LEFT JOIN best USING (k)""")
+def search_rounds(spark, sf_dir):
+    """The search over curves that are read from a table: an order's lines bend its curve, so a probe is a join by order and line."""
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), (F.row_number().over(place) - 1).cast("long").alias("i"), "l_quantity", "l_extendedprice")
+    curves = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+    def probe(ask: DataFrame) -> DataFrame:
+        met = ask.join(curves, "key").withColumn("i", F.col("quality").cast("long") % F.col("n")).join(lines, ["key", "i"])
+        return met.select("key", ((300 + 6 * F.col("quality") + 3 * F.col("l_quantity")).cast("double") / 10).alias("score"), (F.col("quality") * 12 + F.floor("l_extendedprice") % 40).cast("long").alias("bytes"))
+
+    files = curves.select("key", F.lit(80.0).alias("target"), (700 + F.col("key") % 400).alias("original"))
+    outcomes, _ = rounds.search_rounds(files, probe)
+    return outcomes.select(F.col("key").alias("l_orderkey"), "code", "quality", F.round("score", 6).alias("score"), "bytes", "probes")
+
+
+# --- sizes before decoding, jobs of several modes ---------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE WHEN k IN (0, 1) THEN p_partkey * 37 + 1 WHEN k IN (2, 3) THEN (p_partkey * 37 + 1) % 65536 END::BIGINT AS width, CASE WHEN k IN (0, 1) THEN p_size * 3000000 WHEN k IN (2, 3) THEN p_size * 300 END::BIGINT AS height,
+  CASE k WHEN 0 THEN 16 WHEN 1 THEN 8 WHEN 2 THEN 8 WHEN 3 THEN 12 END AS depth, CASE WHEN k < 4 THEN k = 1 END AS frames,
+  CASE WHEN k < 4 THEN (CASE WHEN k IN (0, 1) THEN (p_partkey * 37 + 1)::HUGEINT * p_size * 3000000 ELSE (p_partkey * 37 + 1) % 65536 * p_size * 300 END) > 250000000 END AS too_large FROM (SELECT *, p_partkey % 6 AS k FROM part)""")
+def header_dims(spark, sf_dir):
+    """Sizes from the headers of PNG (16 bits, animated) and JPEG (behind other segments, in a progressive frame), cut off ones and others."""
+    k, w, tall = F.col("p_partkey") % 6, F.col("p_partkey") * 37 + 1, F.col("p_size")
+    ihdr = lambda depth: F.concat(_hex("89504E470D0A1A0A"), _chunk("IHDR", F.concat(_number(w, 8), _number(tall * 3000000, 8), _hex(depth + "00000000"))))
+    frame = lambda depth: F.concat(_hex(depth), _number(tall * 300, 4), _number(w % 65536, 4), _hex("03"))
+    note = _segment("E1", F.concat(F.lit("Exif").cast("binary"), F.col("p_name").cast("binary")))
+    made = (
+        F.when(k == 0, F.concat(ihdr("10"), _chunk("IDAT", F.col("p_type")), _chunk("IEND", _hex(""))))
+        .when(k == 1, F.concat(ihdr("08"), _chunk("acTL", F.col("p_brand")), _chunk("IDAT", F.col("p_type")), _chunk("IEND", _hex(""))))
+        .when(k == 2, _jpeg(note, _segment("C0", frame("08")))).when(k == 3, _jpeg(_segment("C2", frame("0C")), note)).when(k == 4, F.substring(ihdr("08"), 1, 20)).otherwise(_jpeg(note))
+    )
+    d = F.col("d")
+    return _table(spark, sf_dir, "part").select("p_partkey", C.header_dims(made).alias("d")).select("p_partkey", d["width"].alias("width"), d["height"].alias("height"), d["depth"].alias("depth"), d["frames"].alias("frames"), (F.try_multiply(d["width"], d["height"]) > MAX_PIXELS).alias("too_large"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN e THEN 'fast' ELSE ['strip', 'strip', 'strip', 'fast', 'quality', 'quality', 'fast', 'balanced', 'fast', 'quality'][k + 1] END AS mode,
+  CASE WHEN e OR k = 0 THEN 'done' WHEN k = 2 THEN 'already_optimal' ELSE 'failed' END AS state, CASE WHEN e THEN 0 ELSE [0, 1, 6, 1, 5, 4, 8, 7, 7, 1][k + 1] END AS error_code, CASE WHEN NOT e AND k IN (4, 5, 9) THEN CASE WHEN k = 4 THEN 95.0 ELSE 80.0 END END::DOUBLE AS target,
+  CASE WHEN k = 0 AND NOT e THEN (10 + strlen(o_orderpriority) * 0)::BIGINT END AS stripped
+FROM (SELECT *, o_orderkey % 10 AS k, o_orderkey % 50 = 11 AS e FROM orders)""")
+def mixed_jobs(spark, sf_dir):
+    """Jobs that each have their mode and target: strips, files that are refused before any decoding, modes that do not exist, and some that are encoded."""
+    k, encoded = F.col("o_orderkey") % 10, F.col("o_orderkey") % 50 == 11
+    sized = lambda side: _jpeg(_segment("C0", F.concat(_hex("08"), _number(F.lit(side), 4), _number(F.lit(side), 4), _hex("03"))), _segment("FE", F.repeat(F.lit("note "), 500).cast("binary")))
+    deep = F.concat(_hex("89504E470D0A1A0A"), _chunk("IHDR", _hex("00000008" "00000008" "1000000000")), _chunk("IDAT", _hex("00")), _chunk("IEND", _hex("")))
+    bare = _png(None, ("IDAT", F.col("o_orderpriority")))
+    content = (
+        F.when(encoded, sized(8)).when(k == 0, _jpeg(_segment("E1", F.col("o_orderpriority").cast("binary")))).when(k == 1, F.substring(bare, F.lit(1), F.octet_length(bare) - 1)).when(k == 2, bare)
+        .when(k == 3, deep).when(k.isin(4, 5, 9), sized(8)).when(k == 6, sized(60000)).when(k == 7, bare)
+    )
+    square = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"), F.unhex(F.repeat(F.lit("7F"), 192)).alias("data"))
+    modes = F.array(*[F.lit(m) for m in ("strip", "strip", "strip", "fast", "quality", "quality", "fast", "balanced", "fast", "quality")])
+    jobs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), content.alias("content"), F.when(encoded, "fast").otherwise(F.get(modes, k.cast("int"))).alias("mode"), F.when(k == 4, 95.0).alias("target"), F.when(encoded | k.isin(4, 5), square).alias("raster"))
+    got = optimize_jobs(jobs)
+    return got.select(F.col("path").cast("long").alias("o_orderkey"), "mode", "state", "error_code", "target", F.when(F.col("mode") == "strip", F.col("bytes")).alias("stripped"))
 
 
 # --- results and jobs ----------------------------------------------------------------------------------------------

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import os
 import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,13 +89,34 @@ def write_beside(results: DataFrame, suffix: str = "-small") -> DataFrame:
     return _written(results, one)
 
 
-def stored(results: DataFrame, table: str | None = None) -> DataFrame:
-    """results written as Parquet and read back: to `table`, or to a folder under spark.checkpoint.dir, or else checkpointed in memory and on disk."""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode, else one in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.pixelspark.shared", None)
+    if not found:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        found = "file://" + tempfile.mkdtemp(prefix="pixelspark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/pixelspark-{uuid.uuid4().hex}"
+        spark.conf.set("spark.pixelspark.shared", found)
+    return found.rstrip("/")
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation."""
+    place = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+
+def stored(results: DataFrame, table: str | None = None, beside: str | None = None) -> DataFrame:
+    """results written as Parquet and read back: to `table`, or to a folder under spark.checkpoint.dir, or else to one named after `beside`.
+
+    A sink may replace the files that results were made from, so they must not be computed again, whatever is lost: a cache
+    is not enough. Without any place this is an error.
+    """
     spark = results.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if table is None and not shared:
-        return results.persist(StorageLevel.MEMORY_AND_DISK)
-    place = table or f"{shared.rstrip('/')}/results-{uuid.uuid4().hex}"
+    if table is None and not shared and not beside:
+        raise ValueError("no place to store results: name a table, or set spark.checkpoint.dir")
+    place = table or (f"{shared.rstrip('/')}/results-{uuid.uuid4().hex}" if shared else f"{beside.rstrip('/')}-results-{uuid.uuid4().hex}")
     results.write.parquet(place)
     return spark.read.schema(results.schema).parquet(place)
 
