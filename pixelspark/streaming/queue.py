@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.native import concurrency_limit, detail
-from ..operators.reencode import optimize, with_rasters
+from ..operators.reencode import optimize, rasters_of
 from ..schema import MODES, TARGET
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -51,7 +51,7 @@ def stream(spark: SparkSession, folder: str, results: str, checkpoint: str, mode
     def one_pass(batch: DataFrame, number: int) -> None:
         jobs = admit(batch, mode, target)
         if mode != "strip":
-            jobs = jobs.drop("content").join(with_rasters(spark, folder), "path")
+            jobs = rasters_of(jobs)  # of this batch's files only
         placed = bounded(jobs, mode, *limit) if limit else jobs
         optimize(placed, mode, target).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(results)
 
