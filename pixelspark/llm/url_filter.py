@@ -1,13 +1,18 @@
 """URL filtering: exact host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 The trees are trained on labelled URLs. `train_from` takes them from a table, at most `max_labelled` of them (the ones
-with the smallest hash, a documented bound on what reaches the driver). The query takes those URLs of its table that the
-rules decide (`rule_labels`), at most RULE_LABELLED of them, and `labelled_urls`, a fixed generated set of ordinary and
-promotional URLs, as no table labels the latter. Every URL is scored. Features: lengths, path depth, digit ratio, character entropy,
-counts of parameters, hyphens and host labels, and smoothed label rates of the host's last label and last two and three labels.
+with the smallest hash, a documented bound on what reaches the driver). No table labels the URLs of the query, so it trains on
+its own: at most SAMPLE of the table's URLs stand for ordinary ones, and each once more with its name replaced by joined
+catchwords, and some with more parameters or a long key in the path, for promotional ones (`mirrored`). Scheme, suffix,
+path and the rest are the same in both kinds, so only what promotion looks like tells them apart; what promotional URLs there
+are among the table's is a small part of the ordinary kind. Rates of whole host names would learn them by heart and are left out.
+Rules say nothing about the URLs that no rule fits, and are not learned from. Every URL is scored. Features: lengths, path
+depth, digit ratio, character entropy, counts of parameters, hyphens and host labels, and smoothed label rates of the
+host's last label and last two (and, of labelled tables, three) labels.
 
 Edge cases: a null URL, or one without "://", has an empty host and path, fits no rule and is judged by the trees as an
-empty text; without labelled URLs of both kinds every URL not covered by a rule is allowed; repeated rows are judged
+empty text; without labelled URLs of both kinds every URL not covered by a rule is allowed; a very long URL is read whole; rules that are as
+long as each other and both fit are settled by the last one listed; of labelled URLs with equal hashes the first in order are taken; repeated rows are judged
 alike; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -29,8 +34,8 @@ from .exact_dedup import ascii_lower
 
 #: Labelled URLs that may reach the driver for training.
 MAX_LABELLED = 20_000
-#: Of these, URLs labelled by the rules in the query: as many as are generated.
-RULE_LABELLED = 6_000
+#: URLs of its table that the query trains on.
+SAMPLE = 6_000
 #: Bits of a hash that labelled URLs are counted by to choose those with the smallest one.
 HASH_BITS = 16
 FOLDS = 5
@@ -175,17 +180,19 @@ class UrlModel:
         return self.trees.score(np.array([lexical(u, self.rates, self.base) for u in urls], float))
 
 
-def train(urls: list[str], blocked: Sequence[bool]) -> UrlModel:
+def train(urls: list[str], blocked: Sequence[bool], host_labels: int = 3) -> UrlModel:
+    """Trees on labelled URLs; rates of a host's last `host_labels` labels at most."""
     y = np.array(blocked, float)
     if not len(y) or y.min() == y.max():
         return UrlModel(None, {}, 0.0)
-    rates, base = suffix_rates(urls, y)
+    short = lambda found: ({s: v for s, v in found[0].items() if int(s[0]) <= host_labels}, found[1])
+    rates, base = short(suffix_rates(urls, y))
     # a training row's own label must not reach its suffix rates: they come from the other folds
     fold = np.arange(len(urls)) % FOLDS
     x = np.empty((len(urls), len(lexical("", {}, 0.0))))
     for k in range(FOLDS):
         rest = np.flatnonzero(fold != k)
-        own, level = suffix_rates([urls[i] for i in rest], y[rest])
+        own, level = short(suffix_rates([urls[i] for i in rest], y[rest]))
         for i in np.flatnonzero(fold == k):
             x[i] = lexical(urls[i], own, level)
     return UrlModel(BoostedTrees().fit(x, y), rates, base)
@@ -220,11 +227,28 @@ def labelled_urls(n: int = 6000, seed: int = 11) -> tuple[list[str], list[bool]]
     return urls, blocked
 
 
-def rule_labels(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
-    """url and blocked of the rows that a rule decides."""
-    base = pages.select(F.col(url).cast("string").alias("url"))
-    _, verdict = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
-    return base.select("url", (verdict == "block").alias("blocked")).where("blocked IS NOT NULL")
+def mirrored(urls: list[str], seed: int = 11) -> list[str]:
+    """Each URL with its name (the host label before the last two, or the first) replaced by joined catchwords."""
+    draw, out = random.Random(seed), []
+    for url in urls:
+        scheme, mark, rest = url.partition("://")
+        host, path, tail = split_url(url)
+        labels = host.split(".")
+        words = draw.sample(PROMOTION, draw.choice((2, 2, 2, 3)))
+        labels[max(0, len(labels) - 3)] = draw.choice(("-", "-", "-", "")).join(words) + (str(draw.randrange(10, 999)) if draw.random() < 0.3 else "")
+        if draw.random() < 0.2:
+            path += "/" + "".join(draw.choices("0123456789abcdef", k=draw.randrange(8, 32)))
+        if draw.random() < 0.2:
+            tail = "?" + "&".join(f"{draw.choice(PROMOTION)}={draw.randrange(10**6)}" for _ in range(draw.randrange(2, 7)))
+        out.append(f"{scheme}{mark}{'.'.join(labels)}{path}{tail}")
+    return out
+
+
+def train_on(pages: DataFrame, sample: int = SAMPLE, url: str = "url") -> UrlModel:
+    """A model of a table without labels: a bounded sample of its URLs against their mirrored forms."""
+    rows = pages.select(F.col(url).cast("string").alias("url")).where(F.instr("url", "://") > 0).distinct()
+    urls = sorted(r["url"] for r in smallest_hashes(rows, sample).collect())
+    return train(urls + mirrored(urls), [False] * len(urls) + [True] * len(urls), 2)
 
 
 def smallest_hashes(rows: DataFrame, most: int, column: str = "url") -> DataFrame:
@@ -242,11 +266,11 @@ def smallest_hashes(rows: DataFrame, most: int, column: str = "url") -> DataFram
     return hashed.where(place <= last).orderBy(mark, *rows.columns).limit(most).drop(mark)
 
 
-def train_from(labelled: DataFrame, max_labelled: int = MAX_LABELLED, also: tuple[list[str], list[bool]] = ([], [])) -> UrlModel:
-    """A model from the columns url and blocked; distinct pairs, at most max_labelled of them, chosen by hash, after those of `also`."""
+def train_from(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> UrlModel:
+    """A model from the columns url and blocked; distinct pairs, at most max_labelled of them, chosen by hash."""
     rows = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select("url", "blocked").distinct()
     got = smallest_hashes(rows, max_labelled).collect()
-    return train([*also[0], *(r["url"] for r in got)], [*also[1], *(r["blocked"] for r in got)])
+    return train([r["url"] for r in got], [r["blocked"] for r in got])
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -268,7 +292,7 @@ def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url")
-    return judge(pages, train_from(rule_labels(pages), RULE_LABELLED, labelled_urls()))
+    return judge(pages, train_on(pages))
 
 
 QUERIES = {"op6_url_filter": op6_url_filter}
