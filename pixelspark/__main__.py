@@ -1,7 +1,7 @@
 """Command line: optimize the pictures of a folder and report on each.
 
     python -m pixelspark FOLDER --mode strip|fast|quality [--target 80] [--quality 75] [--png-floor N]
-                         [--against FOLDER] [--in-place | --beside SUFFIX | --out TABLE]
+                         [--against FOLDER] [--in-place | --beside SUFFIX | --out TABLE] [--summary]
 
 Exit codes: 0, 1 where a file failed, 2 for wrong arguments.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import native as N
+from .functions import report as rollup
 from .operators.reencode import optimize, score_pairs, with_rasters
 from .schema import MODES, QUALITY, TARGET
 from .sources import files as sources
@@ -30,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--quality", type=float, default=QUALITY, help="encoder quality of fast mode")
     p.add_argument("--png-floor", type=int, default=None, help="reduce colours, unless their quality is under this")
     p.add_argument("--against", help="compare the files of this folder, by name, with those of the first")
+    p.add_argument("--summary", action="store_true", help="report a line for each mode, state and code instead of each file")
     where = p.add_mutually_exclusive_group()
     where.add_argument("--in-place", action="store_true", help="replace the files")
     where.add_argument("--beside", metavar="SUFFIX", help="write beside the files, with this before the extension")
@@ -64,8 +66,12 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         written = sink.replace(results, f"{given.folder.rstrip('/')}-journal-{uuid.uuid4().hex}", given.beside or "")
         for row in written.where("NOT written").toLocalIterator():
             print(f"{row['path']}  not written: {row['problem']}", file=sys.stderr)
-    for row in report(results).orderBy("name").toLocalIterator():
-        print(f"{row['name']}  {row['line']}")
+    if given.summary:
+        for row in rollup.report(rollup.partial_report(results)).orderBy(*rollup.GROUP).collect():  # a row for each group
+            print(f"{row['mode']} {row['state']} ({row['error_code']}): {row['files']} files, {row['old_bytes']} to {row['new_bytes']} bytes, half of them up to {row['p50']}")
+    else:
+        for row in report(results).orderBy("name").toLocalIterator():
+            print(f"{row['name']}  {row['line']}")
     return 1 if not results.where("state = 'failed'").isEmpty() else 0
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import native as N
+from ..functions.report import merged_reports, partial_report, report
 from ..operators import frames as O
 from ..functions import containers as C
 from ..operators import jpeg_codec, png, rounds
 from ..operators.reencode import optimize, optimize_jobs, score_pairs
 from ..schema import MAX_PIXELS, MESSAGES
+from ..streaming.queue import placement
 from .catalog import ORACLES, _chunk, _curve_search, _hex, _jpeg, _number, _png, _segment, _table, query
 
 # --- containers ----------------------------------------------------------------------------------------------------
@@ -251,6 +253,34 @@ def mixed_jobs(spark, sf_dir):
     return got.select(F.col("path").cast("long").alias("o_orderkey"), "mode", "state", "error_code", "target", F.when(F.col("mode") == "strip", F.col("bytes")).alias("stripped"))
 
 
+@query("""WITH RECURSIVE j AS (SELECT l_orderkey // 256 AS g, row_number() OVER (PARTITION BY l_orderkey // 256 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS n, floor(l_extendedprice)::BIGINT AS c FROM lineitem),
+p AS (
+  SELECT g, n, c, c AS held, 0 AS task FROM j WHERE n = 1
+  UNION ALL SELECT j.g, j.n, j.c, CASE WHEN p.held + j.c <= 400000 OR p.held = 0 THEN p.held ELSE 0 END + j.c, CASE WHEN p.held + j.c <= 400000 OR p.held = 0 THEN task ELSE task + 1 END FROM p JOIN j ON j.g = p.g AND j.n = p.n + 1)
+SELECT g AS job_group, task, count(*) AS jobs, sum(c)::BIGINT AS cost FROM p GROUP BY ALL""")
+def job_placement(spark, sf_dir):
+    """Jobs of different costs put into tasks that each have room for 400,000: what each task holds."""
+    group = F.floor(F.col("l_orderkey") / 256)
+    order = Window.partitionBy(group).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    jobs = _table(spark, sf_dir, "lineitem").select(group.alias("group"), F.row_number().over(order).alias("ord"), F.floor("l_extendedprice").alias("cost"))
+    placed = placement(jobs, 400_000).join(jobs, ["group", "ord"])
+    return placed.groupBy(F.col("group").alias("job_group"), "task").agg(F.count(F.lit(1)).alias("jobs"), F.sum("cost").alias("cost"))
+
+
+@query("""WITH r AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'strip' WHEN 1 THEN 'fast' ELSE 'quality' END AS mode, l_returnflag AS state, (l_suppkey % 7)::INTEGER AS error_code, (l_partkey * l_quantity)::BIGINT * 97 AS old, CASE WHEN l_suppkey % 4 > 0 THEN floor(l_extendedprice)::BIGINT END AS new FROM lineitem),
+c AS (SELECT mode, state, error_code, old, coalesce(new, old) AS new, (old >> greatest(length(bin(old)) - 5, 0)::INTEGER) << greatest(length(bin(old)) - 5, 0)::INTEGER AS cell FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY mode, state, error_code ORDER BY cell) AS n, count(*) OVER (PARTITION BY mode, state, error_code) AS total FROM c)
+SELECT mode, state, error_code, count(*) AS files, sum(old)::BIGINT AS old_bytes, sum(new)::BIGINT AS new_bytes, min(cell) FILTER (n >= ceil(total * 0.5)) AS p50, min(cell) FILTER (n >= ceil(total * 0.9)) AS p90 FROM k GROUP BY ALL""")
+def report_rollup(spark, sf_dir):
+    """A report merged from the states of four passes."""
+    line = F.element_at(F.array(F.lit("strip"), F.lit("fast"), F.lit("quality")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    results = _table(spark, sf_dir, "lineitem").select(
+        line.alias("mode"), F.col("l_returnflag").alias("state"), (F.col("l_suppkey") % 7).cast("int").alias("error_code"), ((F.col("l_partkey") * F.col("l_quantity")).cast("long") * 97).alias("original_bytes"),
+        F.when(F.col("l_suppkey") % 4 > 0, F.floor("l_extendedprice")).alias("bytes"), F.pmod(F.xxhash64("l_orderkey"), F.lit(4)).alias("turn"),
+    )
+    return report(merged_reports([partial_report(results.where(F.col("turn") == k)) for k in range(4)]))
+
+
 # --- results and jobs ----------------------------------------------------------------------------------------------
 
 SQL_MESSAGE = " ".join(f"WHEN {k} THEN '{m}'" for k, m in MESSAGES.items())

@@ -6,7 +6,7 @@ and jobs are written by batch, over what an earlier attempt of the same batch wr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,6 +14,8 @@ from ..functions.native import concurrency_limit, detail
 from ..operators.reencode import optimize, rasters_of
 from ..schema import MODES, TARGET
 
+#: Jobs that a placement folds at a time. It does not change the result.
+LOT = 64
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -42,6 +44,30 @@ def bounded(jobs: DataFrame, mode: str, cores: int, ram: int, machines: int = 1)
     return jobs.repartition(max(1, int(limit)) * machines)
 
 
+def placement(jobs: DataFrame, capacity: int, group: str = "group", cost: str = "cost") -> DataFrame:
+    """jobs with a place (group and number of a task) such that no task's jobs cost more together than capacity, and no two neighbouring
+    tasks of a group could be one; a job that costs more by itself has a task of its own.
+
+    Groups are dealt beforehand (by a hash, to some thousand jobs each), so that each is placed by one fold over its costs in the
+    order of `ord`, in the JVM; equal costs are told apart by ord, and a null cost counts as 0.
+    """
+    row = F.struct(F.col("ord").alias("ord"), F.coalesce(F.col(cost), F.lit(0)).cast("long").alias("cost"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("task"), F.array().cast("array<struct<ord:bigint,task:int>>").alias("placed"))
+
+    def put(s: Column, j: Column) -> Column:
+        fits = (s["held"] + j["cost"] <= capacity) | (s["held"] == 0)
+        task = F.when(fits, s["task"]).otherwise(s["task"] + 1)
+        return F.struct(F.when(fits, s["held"] + j["cost"]).otherwise(j["cost"]).alias("held"), task.alias("task"), F.concat(s["placed"], F.array(F.struct(j["ord"].cast("long").alias("ord"), task.alias("task")))).alias("placed"))
+
+    # the list of what is placed would be copied with every job, so a group is folded in lots of LOT jobs
+    folded = lambda jobs_, s: F.aggregate(jobs_, s, put)
+    lots = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / LOT).cast("int")), lambda k: F.slice(a, k * LOT + 1, F.lit(LOT)))
+    listed = jobs.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("jobs"))
+    one = lambda s, lot: F.get(F.transform(F.array(folded(lot, F.struct(s["held"].alias("held"), s["task"].alias("task"), F.array().cast("array<struct<ord:bigint,task:int>>").alias("placed")))), lambda t: F.struct(t["held"].alias("held"), t["task"].alias("task"), F.concat(s["placed"], F.array(t["placed"])).alias("placed"))), F.lit(0))
+    whole = F.aggregate(lots(F.col("jobs")), F.struct(start["held"].alias("held"), start["task"].alias("task"), F.array().cast("array<array<struct<ord:bigint,task:int>>>").alias("placed")), one)
+    return listed.select(group, F.explode(F.flatten(whole["placed"])).alias("p")).select(group, "p.ord", "p.task")
+
+
 def stream(spark: SparkSession, folder: str, results: str, checkpoint: str, mode: str = "strip", target: float = TARGET, limit: tuple[int, int, int] | None = None) -> StreamingQuery:
     """Work on every file that is in folder or comes while the query runs; one pass over what is there, then it stops.
 

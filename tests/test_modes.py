@@ -1,6 +1,7 @@
 """Sinks, jobs, SQL functions, the command line and PNG forms."""
 
 import os
+import random
 import struct
 import zlib
 
@@ -9,6 +10,7 @@ import pytest
 
 from pixelspark import __main__ as command
 from pixelspark import sql
+from pixelspark.functions import report
 from pixelspark.operators import frames, jpeg, metric, png
 from pixelspark.operators.reencode import optimize, score_pairs
 from pixelspark.sources import files
@@ -158,3 +160,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert command.main([place, "--against", place], spark) == 0 and "b.png  score 100.00" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         command.main([place, "--mode", "balanced"], spark)
+
+
+@pytest.mark.parametrize("lot", [64, 7])
+def test_placement_by_cost(spark, monkeypatch, lot):
+    monkeypatch.setattr(queue, "LOT", lot)
+    draw = random.Random(4)
+    rows = [(g, k, draw.randrange(0, 140) if k % 17 else None) for g in range(4) for k in range(150)]
+    got = sorted(tuple(r) for r in queue.placement(spark.createDataFrame(rows, "group int, ord long, cost long").repartition(3), 100).collect())
+    held, task, last = 0, 0, None
+    for (g, k, task_of), (_, _, cost) in zip(got, rows, strict=True):
+        if g != last:
+            held, task, last = 0, 0, g
+        held, task = (held + (cost or 0), task) if held + (cost or 0) <= 100 or held == 0 else (cost or 0, task + 1)
+        assert task_of == task, (g, k)
+    assert queue.placement(spark.createDataFrame([], "group int, ord long, cost long"), 100).count() == 0
+
+
+def test_merged_reports_equal_one_at_once(spark, tmp_path, capsys):
+    draw = random.Random(2)
+    rows = [(draw.choice(("strip", "fast")), draw.choice(("done", "failed")), draw.choice((0, 1)), draw.choice((0, 5, draw.randrange(10**7))), draw.choice((None, draw.randrange(10**5)))) for _ in range(900)] + [(None, None, None, None, None)]
+    results = spark.createDataFrame(rows, "mode string, state string, error_code int, original_bytes long, bytes long").withColumn("k", report.F.monotonically_increasing_id() % 3)
+    parts = [report.partial_report(results.where(f"k = {k}")) for k in range(3)]
+    at_once = sorted(map(str, report.report(report.partial_report(results)).collect()))
+    merged = report.report(report.merged_reports([report.merged_reports(parts[:2]), parts[2]]))
+    assert sorted(map(str, merged.collect())) == at_once and len(at_once) == 9
+    for r in merged.where("mode IS NOT NULL").collect():
+        sizes = sorted(o for m, s, e, o, _ in rows if (m, s, e) == (r["mode"], r["state"], r["error_code"]))
+        for q, got in ((0.5, r["p50"]), (0.9, r["p90"])):
+            true = sizes[-(-int(q * 1000) * len(sizes) // 1000) - 1]
+            assert got <= true <= got * 17 / 16
+    (tmp_path / "a.jpg").write_bytes(NOISY)
+    assert command.main([f"file://{tmp_path}", "--mode", "strip", "--summary"], spark) == 0
+    assert "strip done (0): 1 files" in capsys.readouterr().out
