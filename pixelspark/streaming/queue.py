@@ -89,6 +89,8 @@ def strip_stream(spark: SparkSession, folder: str, results: str, checkpoint: str
     return stream(spark, folder, results, checkpoint, "strip")
 
 
-def clear(results: DataFrame) -> DataFrame:
-    """The queue without its finished jobs."""
+def clear(results: DataFrame, running: StreamingQuery | None = None) -> DataFrame:
+    """The queue without its finished jobs; as it is while a pass is running."""
+    if running is not None and running.isActive:
+        return results
     return results.where(~F.col("state").isin("done", "already_optimal", "failed"))

@@ -4,6 +4,7 @@ import os
 import random
 import struct
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -137,6 +138,7 @@ def test_jobs(spark, tmp_path):
     assert told["a.jpg"][0] == "done" and "smaller" in told["a.jpg"][1] and told["b.png"] == ("failed", "the image could not be decoded")
     assert queue.waiting(jobs, results).count() == 0 and queue.clear(results).count() == 0
     assert {r["state"] for r in queue.states(jobs, results.limit(0)).collect()} == {"waiting"}
+    assert queue.clear(results, SimpleNamespace(isActive=True)).count() == 2 and queue.clear(results, SimpleNamespace(isActive=False)).count() == 0
 
 
 def test_sql_functions(spark):
