@@ -17,7 +17,8 @@ the texts of assistant turns.
 Edge cases: a null text or role is empty; a null turn number sorts first; turns with equal numbers sort by their
 rendered form and are all kept, as are repeated rows; a column that a layout may do without may be absent; a record that
 fills fields of several layouts takes the one that needs most; records that fill none give no turns and are counted in
-n_unmatched rather than being dropped; an empty table gives an empty result; columns that no layout mentions are ignored.
+n_unmatched rather than being dropped; a very long turn is escaped whole, and equal or null turn numbers are put together in one
+block; an empty table gives an empty result; columns that no layout mentions are ignored.
 """
 
 from __future__ import annotations

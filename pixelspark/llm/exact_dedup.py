@@ -6,7 +6,7 @@ all rows, and at most counters + 1 verified winners are broadcast to settle the
 The remaining digests, none of which holds more than a small share of the rows, are shuffled and settled by a window.
 
 Edge cases: a null text equals the empty text; a row whose key is null loses against any key; of repeated rows with the
-same key and text one stays; an empty table gives an empty result; extra columns are ignored by `duplicate_groups` and
+same key and text one stays; a very long text is digested whole where it is read; an empty table gives an empty result; extra columns are ignored by `duplicate_groups` and
 kept by `drop_duplicates`.
 """
 

@@ -24,7 +24,8 @@ With MATCHES of COORDINATES, a pair of similarity 0.8 is missed with probability
 Edge cases: documents without words (null or empty texts) have no shingles, link with nothing and stay; fewer words than a shingle
 has make one shingle of them all; repeated rows are one class; one key with several texts is several classes, each judged by
 itself, and of near copies with one key the smallest digest stays; a null key never represents a class unless all its
-keys are null; an empty table gives an empty result; extra columns are ignored by `components` and kept by `drop_near_duplicates`.
+keys are null; a very long text becomes one set, read whole by one task;
+ties of list heads go to the larger id; an empty table gives an empty result; extra columns are ignored by `components` and kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations

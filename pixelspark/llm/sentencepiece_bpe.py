@@ -7,7 +7,7 @@ without a pair leave it. Merging several equal pairs of a word in one round is t
 another unless a merge creates a pair that ranks at least as high; such words merge their leftmost pair only.
 
 Edge cases: a null text is encoded as the empty text (no ids, decoded to ""); very long texts and texts without any
-white space are handled whole; unknown characters become byte pieces; repeated rows give repeated results; extra
+white space are handled whole; unknown characters become byte pieces; repeated rows give repeated results; an empty table gives an empty result; extra
 columns are never looked at by the digest query and are passed through by `encode` and `decode`.
 """
 

@@ -12,7 +12,8 @@ Law: `rows`; the shards' row counts differ by one at most. Slots are numbered wi
 shard is ever sorted or gathered in one task.
 
 Edge cases: a null text has size 1 and counts as the empty text; a group larger than a shard is split over shards;
-repeated rows are placed once each; fewer documents than shards leave shards empty; an empty table gives an empty
+a very long text counts by its size only; ties between
+shards go to the one that a hash of group and shard puts last; repeated rows are placed once each; fewer documents than shards leave shards empty; an empty table gives an empty
 result; extra columns are ignored.
 """
 
