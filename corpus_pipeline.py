@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
 columns of documents; the last returns one row per packed piece. A null text counts as empty throughout; an empty
-table passes through every stage as an empty table.
+table passes through every stage as an empty table. Of rows that are equal in text one stays, the largest doc_id, and of rows
+equal in doc_id and text one of them; of near copies the smallest doc_id stays. Very long texts are read whole in every
+stage. Columns that documents do not have are kept by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
