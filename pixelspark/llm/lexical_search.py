@@ -32,13 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import small_batches, stash, table
 from .terms import ALNUM, SLICE_BYTES, Sums, slices, split
 
 #: Postings of a shard, (item, term) rows of a block of items, rows of the result for each item.
 SHARD_POSTINGS, BLOCK_TERMS, TOP = 1 << 20, 1 << 18, 20
-#: A shard is a large row: so few of them share a row group that a reader holds no more than this at once.
-ROW_GROUP = 16 << 20
+#: A shard is a large row, so each has a row group of its own: readers and writers hold one at a time, whatever a file has. (A size
+#: of row groups would not do: Parquet first looks at it after 100 rows.) Values in it do not repeat, so no dictionary is tried.
+ROW_GROUPS = {"parquet.block.row.count.limit": 1, "parquet.enable.dictionary": False}
 LAST = np.iinfo(np.int64).max
 
 
@@ -78,7 +79,8 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
 def build(docs: DataFrame, shard_postings: int = SHARD_POSTINGS) -> Index:
     """The index of docs (doc_id, text)."""
-    counted = stash(count_terms(docs), "terms")
+    with small_batches(docs.sparkSession):
+        counted = stash(count_terms(docs), "terms")
     row = counted.filter("term IS NULL").agg(F.sum("n"), F.sum("terms")).first()
     n_docs, n_terms = row[0] or 0, row[1] or 0
     vocabulary = stash(counted.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df")), "vocabulary")
@@ -117,7 +119,8 @@ def build(docs: DataFrame, shard_postings: int = SHARD_POSTINGS) -> Index:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = rows.mapInArrow(run, "doc_ids binary, terms array<string>, indptr binary, docs binary, impacts binary")
-    return Index(stash(shards, "shards", **{"parquet.block.size": ROW_GROUP}), vocabulary, n_docs, n_terms)
+    with small_batches(docs.sparkSession):
+        return Index(stash(shards, "shards", **ROW_GROUPS), vocabulary, n_docs, n_terms)
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -180,13 +183,14 @@ def _search_block(index: Index, rows: list, top: int) -> DataFrame:
 
 def search(index: Index, items: DataFrame, top: int = TOP) -> DataFrame:
     """item_id, rank, doc_id, score of each item's `top` best documents."""
-    pairs = stash(item_terms(items).join(index.vocabulary, "term"), "asked")
-    blocks = max(1, -(-pairs.count() // BLOCK_TERMS))
     found = None
-    for k in range(blocks):
-        rows = pairs.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about BLOCK_TERMS rows
-        part = stash(_search_block(index, rows, top), "found")
-        found = part if found is None else found.union(part)
+    with small_batches(items.sparkSession):  # of large shards, one at a time
+        pairs = stash(item_terms(items).join(index.vocabulary, "term"), "asked")
+        blocks = max(1, -(-pairs.count() // BLOCK_TERMS))
+        for k in range(blocks):
+            rows = pairs.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about BLOCK_TERMS rows
+            part = stash(_search_block(index, rows, top), "found")
+            found = part if found is None else found.union(part)
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
 

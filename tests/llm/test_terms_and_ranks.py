@@ -4,9 +4,11 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pixelspark.llm import divergence, lexical_search, mixture_language, terms
@@ -84,6 +86,20 @@ def test_lexical_search(spark, monkeypatch, postings, block):
     assert lexical_search.search(index, asked.limit(0)).count() == 0 and lexical_search.search(lexical_search.build(frame.limit(0)), asked).count() == 0
 
 
+def test_one_shard_is_held_at_a_time(spark, monkeypatch):
+    limits = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    now = lambda: [spark.conf.get(name, None) for name in limits]
+    before, during, plain = now(), {}, lexical_search.stash
+    monkeypatch.setattr(lexical_search, "stash", lambda df, name, **options: (during.update({name: now()}), plain(df, name, **options))[1])
+    docs, items = list(enumerate(prose(300, 1))), list(enumerate(prose(4, 5)))
+    index = lexical_search.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), 300)
+    groups = [f.metadata.row_group(k).num_rows for f in map(pq.ParquetFile, (urlparse(x).path for x in index.shards.inputFiles())) for k in range(f.metadata.num_row_groups)]
+    assert len(groups) == index.shards.count() > 5 and set(groups) == {1}
+    got = lexical_search.search(index, spark.createDataFrame(items, "item_id long, text string"), 20)
+    assert sorted(map(tuple, got.collect())) == sorted(ranked(docs, items, 20))
+    assert [during[name] for name in ("terms", "shards", "asked", "found")] == [["1000", "4m"]] * 4 and now() == before
+
+
 def test_best_keeps_ties_by_id():
     draw = np.random.default_rng(3)
     for _ in range(300):
