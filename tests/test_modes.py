@@ -135,7 +135,7 @@ def test_pictures_are_never_broadcast(spark, monkeypatch):
     assert len(pictures) == 2 and all("BroadcastHashJoin" not in p and p.count(", 5), REPARTITION_BY_NUM") >= 2 for p in pictures)
 
 
-@pytest.mark.parametrize("name", ["jpeg_quality", "optimize_png"])
+@pytest.mark.parametrize("name", ["jpeg_quality", "optimize_png", "jpeg_fast", "quantize"])
 def test_partitions_hold_few_pictures(spark, monkeypatch, name):
     """However many rows there are: what is made and handed over at once is a partition at most."""
     monkeypatch.setattr(modes, "PICTURES", 2)
